@@ -2,9 +2,26 @@
 
 from __future__ import annotations
 
+from .ann import op3_ann
 from .bpe import op7_bpe
 from .mixing import op8_mixing
 from .sharding import op10_sharding
+from .topk import op6_topk
+from .toxicity import op1_toxicity
 
-QUERIES = {f.__name__: f for f in (op7_bpe, op8_mixing, op10_sharding)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_ann, op6_topk, op7_bpe, op8_mixing, op10_sharding)}
+
+SQL = {
+    "op6_topk": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
+), r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+""",
+}
