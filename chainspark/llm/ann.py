@@ -18,7 +18,7 @@ from .vectors import best, matrix, merged, usable, width_of
 
 TABLES, PROBES = 10, 8
 #: Queries of one bucket are dealt over parts of about QUERIES, its rows over parts of about ROWS.
-QUERIES, ROWS, GROUP = 2048, 16384, 256
+QUERIES, ROWS, GROUP = 8192, 65536, 256
 SCHEMA = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
