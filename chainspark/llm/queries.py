@@ -6,10 +6,12 @@ from .ann import op3_ann
 from .bpe import op7_bpe
 from .mixing import op8_mixing
 from .sharding import op10_sharding
+from .suffixes import op2_suffixes
 from .topk import op6_topk
 from .toxicity import op1_toxicity
+from .wordrepeats import op5_substrings
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_ann, op6_topk, op7_bpe, op8_mixing, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_suffixes, op3_ann, op5_substrings, op6_topk, op7_bpe, op8_mixing, op10_sharding)}
 
 SQL = {
     "op6_topk": """
