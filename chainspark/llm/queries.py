@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from .ann import op3_ann
 from .bpe import op7_bpe
+from .brown import op9_brown
+from .minhash import op4_minhash
 from .mixing import op8_mixing
 from .sharding import op10_sharding
 from .suffixes import op2_suffixes
@@ -11,7 +13,7 @@ from .topk import op6_topk
 from .toxicity import op1_toxicity
 from .wordrepeats import op5_substrings
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_suffixes, op3_ann, op5_substrings, op6_topk, op7_bpe, op8_mixing, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_suffixes, op3_ann, op4_minhash, op5_substrings, op6_topk, op7_bpe, op8_mixing, op9_brown, op10_sharding)}
 
 SQL = {
     "op6_topk": """

@@ -10,7 +10,6 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,7 +67,7 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, larg
 
 
 def kept_words(docs: DataFrame, cover: DataFrame, result, schema: str) -> DataFrame:
-    """``docs`` (with did, rid, text and more) with ``result(words, removed)`` of each text in place of the text."""
+    """``docs`` (with did, rid, text and more) with ``result(text, words, removed)`` of each text in place of the text."""
     joined = docs.join(cover, ["did", "rid"], "left")
     kept = [c for c in docs.columns if c not in ("did", "rid", "text")]
     extra = [x.split()[0] for x in schema.split(", ")]
@@ -77,26 +76,25 @@ def kept_words(docs: DataFrame, cover: DataFrame, result, schema: str) -> DataFr
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                texts = pc.fill_null(part.column("text"), "").cast(pa.binary()).to_pylist()
                 out = []
-                for text, spans in zip(texts, part.column("cover").to_pylist()):
-                    words = text.split()
-                    out.append(result(words, marked(len(words), spans)))
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], *[pa.array(list(x)) for x in zip(*out)]], names=[*kept, *extra])
+                for text, spans in zip(part.column("text").cast(pa.binary()).to_pylist(), part.column("cover").to_pylist()):
+                    words = (text or b"").split()
+                    out.append(result(text, words, marked(len(words), spans)))
+                columns = [pa.array(list(x), pa.binary()).cast(pa.string()) if n == "text" else pa.array(list(x)) for n, x in zip(extra, zip(*out))]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], *columns], names=[*kept, *extra])
 
     return joined.select(*kept, "text", "cover").mapInArrow(run, ", ".join(x for x in (names, schema) if x))
 
 
 def without_repeats(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with the kept words, joined by one space, as text; rows without repeats keep their text unchanged."""
-    cover = repeated_words(docs, **options)
-    own = identified(docs).columns
-    rest = [c for c in docs.columns if c != "text"]
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("r"), *[identified_column(docs, c) for c in own])
-    touched = packed.join(cover.select("did", "rid"), ["did", "rid"], "left_semi")
-    cleaned = kept_words(touched, cover, lambda words, gone: (b" ".join(w for w, g in zip(words, gone) if not g).decode(),), "text string")
-    clean = packed.join(cover.select("did", "rid"), ["did", "rid"], "left_anti").select("r", "text")
-    out = clean.unionByName(cleaned)
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("r")
+    rows = docs.select(rest, *[identified_column(docs, c) for c in ("did", "rid", "text")])
+
+    def result(text, words, gone):
+        return ((b" ".join(w for w, g in zip(words, gone) if not g) if gone.any() else text),)
+
+    out = kept_words(rows, repeated_words(docs, **options), result, "text string")
     return out.select(*[F.col("text") if c == "text" else F.col("r").getField(c).alias(c) for c in docs.columns])
 
 
@@ -111,7 +109,7 @@ def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     rows = docs.select("doc_id", *[identified_column(docs, c) for c in ("did", "rid", "text")])
 
-    def result(words, gone):
+    def result(_, words, gone):
         return len(words), int(gone.sum()), hashlib.sha256(b" ".join(w for w, g in zip(words, gone) if not g)).hexdigest()
 
     return kept_words(rows, repeated_words(docs), result, "n_words bigint, n_removed bigint, kept_sha256 string")
