@@ -19,7 +19,7 @@ from .common import flat_array, raw_bytes, read, slices
 from .superkmers import Units, cover_table, covered, doubled, dense, identified, marked
 from .wordrepeats import identified_column
 
-WINDOW, GRAM, LARGEST = 400, 128, 20_000
+WINDOW, GRAM, LARGEST = 400, 128, 4_000
 
 
 def suffix_array(text: np.ndarray, starts: np.ndarray, rest: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
@@ -29,11 +29,14 @@ def suffix_array(text: np.ndarray, starts: np.ndarray, rest: np.ndarray, longest
     """
     symbols = np.concatenate([text.astype(np.int64), np.zeros(4, np.int64)])
     packed = symbols[:-4] << 27 | symbols[1:-3] << 18 | symbols[2:-2] << 9 | symbols[3:-1]
-    levels, length = [(1, symbols[:-4]), (2, packed >> 18), (4, dense(packed))], 4
+    ranks = dense(packed)
+    levels, length = [(1, symbols[:-4].astype(np.int32)), (2, (packed >> 18).astype(np.int32)), (4, ranks.astype(np.int32))], 4
+    del symbols, packed
     while length < longest:
-        levels.append((length * 2, doubled(levels[-1][1], length)))
+        ranks = doubled(ranks, length)
         length *= 2
-    order = np.argsort(levels[-1][1][starts], kind="stable")
+        levels.append((length, ranks.astype(np.int32)))
+    order = np.argsort(ranks[starts], kind="stable")
     sorted_starts = starts[order]
     common = np.zeros(len(starts), np.int64)
     a, b = sorted_starts[:-1], sorted_starts[1:]
@@ -111,7 +114,7 @@ def repeated_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, larg
     All occurrences are covered, also such that overlap and such within one text; repeated rows count as elsewhere.
     Null and empty texts have no strings.
     """
-    return covered(identified(docs), Units(False, window, gram), False, solver(window), largest)
+    return covered(identified(docs), Units(False, window, gram), False, solver(window), largest, keep_runs=True)
 
 
 def kept_bytes(rows: DataFrame, cover: DataFrame, result, schema: str) -> DataFrame:

@@ -132,14 +132,15 @@ def identified(docs: DataFrame) -> DataFrame:
     return docs.select(did.alias("did"), key_of(F.col("doc_id"), F.col("text")).alias("rid"), F.col("text").cast("string").alias("text"))
 
 
-def covered(docs: DataFrame, units: Units, first_stays: bool, solve: Callable, largest: int) -> DataFrame:
+def covered(docs: DataFrame, units: Units, first_stays: bool, solve: Callable, largest: int, keep_runs: bool) -> DataFrame:
     """``did, rid, cover``: for each row with repeated windows, arrays of covered runs of units [start, end).
 
     ``docs`` comes from ``identified``. ``first_stays``: the first of equal windows, by (did, start), is not covered.
     ``solve`` gets the strings of anchors with up to ``largest`` different strings, grouped by anchor, and gives
     ``anchor, seg, begins, ends``; strings of larger groups go window by window through an ordinary count instead,
-    so that no group has to fit into a task.
+    so that no group has to fit into a task. ``keep_runs`` writes all runs once instead of finding them twice.
     """
+
     def emit(batches):
         for batch in batches:
             for part in slices(batch, "text", PIECE):
@@ -147,11 +148,15 @@ def covered(docs: DataFrame, units: Units, first_stays: bool, solve: Callable, l
 
     schema = "anchor bigint, seg bigint, did bigint, rid bigint, start int, n int, b int, len int"
     runs = docs.mapInArrow(emit, schema)
+    if keep_runs:
+        runs = cut(runs)
+    # Most runs stand alone: they leave before anything but their anchor is counted.
+    repeated = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("anchor")
+    runs = cut(runs.join(repeated, "anchor"))
     place = F.struct("did", "start", "rid", "b", "len", "n")
     kinds = runs.groupBy("anchor", "seg").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("first"))
     per = W.partitionBy("anchor")
-    kinds = kinds.select("anchor", "seg", "copies", "first", F.count(F.lit(1)).over(per).alias("strings")).where("copies > 1 or strings > 1")
-    kinds = cut(kinds)
+    kinds = cut(kinds.select("anchor", "seg", "copies", "first", F.count(F.lit(1)).over(per).alias("strings")))
 
     # The strings of anchors with several of them, cut from the first text that has them.
     need = kinds.where("strings > 1").select("anchor", "seg", "strings", "first.*")
@@ -172,7 +177,7 @@ def covered(docs: DataFrame, units: Units, first_stays: bool, solve: Callable, l
     return hits.groupBy("did", "rid").agg(F.flatten(F.collect_list("spans")).alias("cover"))
 
 
-def in_groups(solve: Callable, limit: int = 3 << 19):
+def in_groups(solve: Callable, limit: int = 1 << 19):
     """Feed ``solve`` with tables of whole groups of one anchor, about ``limit`` bytes at a time."""
 
     def run(batches):

@@ -63,7 +63,7 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, larg
     Earlier means a smaller id (missing: smallest), or the same id and a smaller start; so rows with equal id and
     equal text don't count against each other. Null and empty texts have no windows.
     """
-    return covered(identified(docs), Units(True, window, gram), True, solver(window), largest)
+    return covered(identified(docs), Units(True, window, gram), True, solver(window), largest, keep_runs=False)
 
 
 def kept_words(docs: DataFrame, cover: DataFrame, result, schema: str) -> DataFrame:
