@@ -22,10 +22,11 @@ BANDS, ROWS = 10, 4
 #: Words in fewer than this share of the documents all get the largest weight, so the table of the others is bounded
 #: by the mean number of distinct words of a document divided by it, whatever the number of documents.
 RARE = 0.002
-#: All texts of a bucket are compared with its HUBS best connected texts: in buckets of up to HUBS + 1 these are all
-#: pairs. In larger ones, texts outside the bucket's largest class are the next hubs, ROUNDS times in all.
-HUBS, ROUNDS = 12, 3
-SALT = 256
+#: All pairs of a bucket of up to SMALL texts are compared. The texts of a larger one are compared with its HUBS best
+#: connected texts; then the best connected texts outside its largest class are compared with all texts that are not
+#: in their own class, HUBS at a time and ROUNDS times in all, so that linked texts aren't compared again and again.
+SMALL, HUBS, ROUNDS = 13, 3, 4
+SALT = 16
 
 
 def node_of(text: Column) -> Column:
@@ -174,6 +175,7 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, rounds: int = ROUND
                     yield pa.RecordBatch.from_arrays([part.column("node").filter(pa.array(has)), lists], names=["node", "bands"])
 
     bands = rows.select("node", "text").mapInArrow(sketch, "node binary, bands array<bigint>").distinct()
+    bands = cut(bands)  # a hundred bytes a text, instead of sketching twice
     members = bands.select("node", F.posexplode("bands").alias("band", "hash"))
     sizes = members.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = members.join(sizes, ["band", "hash"])
@@ -185,20 +187,24 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, rounds: int = ROUND
     for turn in range(rounds):
         # The limit on the rank is applied before the shuffle as well, so a large bucket never meets in one task.
         best = W.partitionBy("bucket").orderBy(F.col("degree").desc(), "node")
-        hubs = left.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= HUBS).select("bucket", F.col("node").alias("a"))
-        pairs = members.join(hubs, "bucket").where("a <> node").select("a", F.col("node").alias("b"))
-        if roots is not None:
-            x, y = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-            pairs = pairs.join(x, "a", "left").join(y, "b", "left").where("ra is null or rb is null or ra <> rb")
+        ranked = left.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= max(SMALL - 1, HUBS * (turn + 1)))
+        several = (F.col("rank") <= HUBS) if turn == 0 else (F.col("rank") > HUBS * (turn - 1)) & (F.col("rank") <= HUBS * turn)
+        hubs = ranked.where((F.col("n") <= SMALL) | several).select("bucket", F.col("node").alias("a"))
+        met = members
+        if roots is not None:  # texts of one class need no more links: they leave inside the join
+            met = apart.select("bucket", "node", "root")
+            hubs = hubs.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").withColumn("ra", F.coalesce("ra", "a"))
+        differ = met["node"] != hubs["a"] if roots is None else met["root"] != hubs["ra"]
+        pairs = met.join(hubs, (met["bucket"] == hubs["bucket"]) & differ).select("a", F.col("node").alias("b"))
         new = cut(verified(pairs.distinct(), texts, weights, least))
         if turn and new.isEmpty():
             break
         edges = new if edges is None else edges.unionByName(new)
         roots = components(edges)
-        apart = members.where(F.col("n") > HUBS + 1).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        apart = members.where(F.col("n") > SMALL).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         main = apart.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket").agg(F.max(F.struct("k", "root")).alias("m"))
         others = apart.join(main, "bucket").where(F.col("root") != F.col("m.root"))
-        left = others.select("bucket", "node", F.xxhash64("node", F.lit(turn)).alias("degree"))
+        left = others.select("bucket", "node", "n", "degree")
     labels = rows.select("did", "rid", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = labels.groupBy("root").agg(F.min("did").alias("class_id"))
     return labels.join(ids, "root").select("did", "rid", "node", "root", "class_id")
