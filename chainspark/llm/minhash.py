@@ -22,10 +22,10 @@ BANDS, ROWS = 10, 4
 #: Words in fewer than this share of the documents all get the largest weight, so the table of the others is bounded
 #: by the mean number of distinct words of a document divided by it, whatever the number of documents.
 RARE = 0.002
-#: All pairs of a bucket of up to SMALL texts are compared. The texts of a larger one are compared with its HUBS best
-#: connected texts; then the best connected texts outside its largest class are compared with all texts that are not
-#: in their own class, HUBS at a time and ROUNDS times in all, so that linked texts aren't compared again and again.
-SMALL, HUBS, ROUNDS = 13, 3, 4
+#: A bucket is never expanded into all its pairs. All its texts are first compared with its best connected one; then, turn
+#: by turn, texts outside its largest class are compared with all texts of other classes, up to GROWTH, GROWTH ** 2, ...
+#: of them a bucket, until each text outside the largest class has been compared. So no link between two classes is lost.
+GROWTH = 8
 SALT = 16
 
 
@@ -124,6 +124,20 @@ def word_weights(docs: DataFrame) -> Weights:
     return Weights(common.word.to_numpy(np.int64), common.df.to_numpy(float), n)
 
 
+def candidates(placed: DataFrame, hubs: DataFrame, least: float) -> DataFrame:
+    """Pairs ``a, b`` of a hub and a text of another class in its bucket, each pair once.
+
+    A text that has been a hub in this bucket has met them all. The similarity is never above the ratio of the
+    masses, so pairs of too different masses leave inside the join.
+    """
+    x, h = placed.where("not done").alias("x"), hubs.alias("h")
+    close = F.least("x.mass", "h.ma") >= F.greatest("x.mass", "h.ma") * (least - 1e-4)
+    met = x.join(h, (F.col("x.bucket") == F.col("h.bucket")) & (F.col("x.root") != F.col("h.ra")) & close)
+    lo, hi = F.least("node", "a"), F.greatest("node", "a")
+    pairs = met.select(lo.alias("lo"), hi.alias("hi"), "a").groupBy("lo", "hi").agg(F.max("a").alias("a"))
+    return pairs.select("a", F.when(F.col("a") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("b"))
+
+
 def verified(pairs: DataFrame, texts: DataFrame, weights, least: float) -> DataFrame:
     """The pairs ``a, b`` whose weighted Jaccard similarity is at least ``least``. Pairs of a hub are dealt over parts."""
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALT)))
@@ -154,7 +168,7 @@ def verified(pairs: DataFrame, texts: DataFrame, weights, least: float) -> DataF
     return dealt.mapInArrow(run, "a binary, b binary")
 
 
-def near_classes(docs: DataFrame, least: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
+def near_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """``did, rid, node, class_id`` for each row: equal texts, and texts linked by candidates of similarity >= ``least``.
 
     ``class_id`` is the smallest id of the class (null ids don't count). Texts without words are only classed with
@@ -172,39 +186,40 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, rounds: int = ROUND
                 if has.any():
                     bands = band_hashes(key, weight, offsets)
                     lists = pa.FixedSizeListArray.from_arrays(pa.array(bands.ravel()), BANDS).cast(pa.list_(pa.int64()))
-                    yield pa.RecordBatch.from_arrays([part.column("node").filter(pa.array(has)), lists], names=["node", "bands"])
+                    mass = np.add.reduceat(weight.astype(np.float64), offsets[:-1][has])
+                    yield pa.RecordBatch.from_arrays([part.column("node").filter(pa.array(has)), lists, pa.array(mass)], names=["node", "bands", "mass"])
 
-    bands = rows.select("node", "text").mapInArrow(sketch, "node binary, bands array<bigint>").distinct()
+    bands = rows.select("node", "text").mapInArrow(sketch, "node binary, bands array<bigint>, mass double").dropDuplicates(["node"])
     bands = cut(bands)  # a hundred bytes a text, instead of sketching twice
-    members = bands.select("node", F.posexplode("bands").alias("band", "hash"))
+    members = bands.select("node", "mass", F.posexplode("bands").alias("band", "hash"))
     sizes = members.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = members.join(sizes, ["band", "hash"])
     degree = members.groupBy("node").agg(F.sum("n").alias("degree"))
-    members = cut(members.join(degree, "node").select(F.xxhash64("band", "hash").alias("bucket"), "node", "n", "degree"))
+    members = cut(members.join(degree, "node").select(F.xxhash64("band", "hash").alias("bucket"), "node", "mass", "degree"))
     texts = cut(rows.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
 
-    edges, roots, left = None, None, members
-    for turn in range(rounds):
-        # The limit on the rank is applied before the shuffle as well, so a large bucket never meets in one task.
-        best = W.partitionBy("bucket").orderBy(F.col("degree").desc(), "node")
-        ranked = left.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= max(SMALL - 1, HUBS * (turn + 1)))
-        several = (F.col("rank") <= HUBS) if turn == 0 else (F.col("rank") > HUBS * (turn - 1)) & (F.col("rank") <= HUBS * turn)
-        hubs = ranked.where((F.col("n") <= SMALL) | several).select("bucket", F.col("node").alias("a"))
-        met = members
-        if roots is not None:  # texts of one class need no more links: they leave inside the join
-            met = apart.select("bucket", "node", "root")
-            hubs = hubs.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").withColumn("ra", F.coalesce("ra", "a"))
-        differ = met["node"] != hubs["a"] if roots is None else met["root"] != hubs["ra"]
-        pairs = met.join(hubs, (met["bucket"] == hubs["bucket"]) & differ).select("a", F.col("node").alias("b"))
-        new = cut(verified(pairs.distinct(), texts, weights, least))
-        if turn and new.isEmpty():
+    best = members.groupBy("bucket").agg(F.max(F.struct("degree", "node", "mass")).alias("m"))
+    hubs = best.select("bucket", F.col("m.node").alias("a"), F.col("m.node").alias("ra"), F.col("m.mass").alias("ma"))
+    placed = members.select("bucket", "node", "mass", "degree", F.col("node").alias("root"), F.lit(False).alias("done"))
+    roots, turn = None, 0
+    while True:
+        new = verified(candidates(placed, hubs, least), texts, weights, least)
+        roots = components(new if roots is None else new.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        met = hubs.select("bucket", F.col("a").alias("node"), F.lit(True).alias("now"))
+        placed = placed.drop("root").join(met, ["bucket", "node"], "left").withColumn("done", F.col("done") | F.col("now").isNotNull()).drop("now")
+        placed = cut(placed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+        classes = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("k"), F.count_if(~F.col("done")).alias("todo"))
+        main = classes.groupBy("bucket").agg(F.max(F.struct("k", "root", "todo")).alias("m"), F.sum("todo").alias("todo"))
+        main = main.where(F.col("todo") > F.col("m.todo")).select("bucket", F.col("m.root").alias("main"))
+        placed = cut(placed.join(main, "bucket"))  # buckets with texts outside their largest class still to compare
+        if placed.isEmpty():
             break
-        edges = new if edges is None else edges.unionByName(new)
-        roots = components(edges)
-        apart = members.where(F.col("n") > SMALL).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        main = apart.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket").agg(F.max(F.struct("k", "root")).alias("m"))
-        others = apart.join(main, "bucket").where(F.col("root") != F.col("m.root"))
-        left = others.select("bucket", "node", "n", "degree")
+        turn += 1
+        # The limit on the rank is applied before the shuffle as well, so a large bucket never meets in one task.
+        order = W.partitionBy("bucket").orderBy(F.col("degree").desc(), "node")
+        others = placed.where("root <> main and not done").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= GROWTH**turn)
+        hubs = cut(others.select("bucket", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("mass").alias("ma")))
+        placed = placed.drop("main")
     labels = rows.select("did", "rid", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = labels.groupBy("root").agg(F.min("did").alias("class_id"))
     return labels.join(ids, "root").select("did", "rid", "node", "root", "class_id")
