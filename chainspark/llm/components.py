@@ -5,23 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import stored
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``node, root``: the smallest node of each node's component. ``edges``: ``a, b``, in any direction, repeats allowed.
 
     Each round takes the smallest label among a node's neighbours and then jumps to the label's own label, so the
-    number of rounds grows with the logarithm of the diameter; a checkpoint ends each round.
+    number of rounds grows with the logarithm of the diameter; a written table ends each round.
     """
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")))
+    both = stored(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
+    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")))
     while True:
         near = both.join(labels.withColumnsRenamed({"node": "b"}), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("m"))
         lower = labels.join(near, "node").select("node", F.least("root", "m").alias("root"), F.col("root").alias("old"))
         heads = labels.select(F.col("node").alias("root"), F.col("root").alias("top"))
         # A label is a node of the component itself, and its own label is never larger.
-        new = cut(lower.join(heads, "root").select("node", F.least("root", "top").alias("root"), "old"))
+        new = stored(lower.join(heads, "root").select("node", F.least("root", "top").alias("root"), "old"))
         if new.where("root <> old").isEmpty():
             return new.select("node", "root")
         labels = new.select("node", "root")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, hash64, key_of, look_up, mix, read, slices, split_words, word_codes
+from .common import hash64, key_of, look_up, mix, read, slices, split_words, stored, word_codes
 from .components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -25,7 +25,7 @@ RARE = 0.002
 #: A bucket is never expanded into all its pairs. All its texts are first compared with its best connected one; then, turn
 #: by turn, texts outside its largest class are compared with all texts of other classes, up to GROWTH, GROWTH ** 2, ...
 #: of them a bucket, until each text outside the largest class has been compared. So no link between two classes is lost.
-GROWTH = 8
+GROWTH = 32
 SALT = 16
 
 
@@ -190,13 +190,13 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([part.column("node").filter(pa.array(has)), lists, pa.array(mass)], names=["node", "bands", "mass"])
 
     bands = rows.select("node", "text").mapInArrow(sketch, "node binary, bands array<bigint>, mass double").dropDuplicates(["node"])
-    bands = cut(bands)  # a hundred bytes a text, instead of sketching twice
+    bands = stored(bands)  # a hundred bytes a text, instead of sketching twice
     members = bands.select("node", "mass", F.posexplode("bands").alias("band", "hash"))
     sizes = members.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = members.join(sizes, ["band", "hash"])
     degree = members.groupBy("node").agg(F.sum("n").alias("degree"))
-    members = cut(members.join(degree, "node").select(F.xxhash64("band", "hash").alias("bucket"), "node", "mass", "degree"))
-    texts = cut(rows.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
+    members = stored(members.join(degree, "node").select(F.xxhash64("band", "hash").alias("bucket"), "node", "mass", "degree"))
+    texts = stored(rows.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
 
     best = members.groupBy("bucket").agg(F.max(F.struct("degree", "node", "mass")).alias("m"))
     hubs = best.select("bucket", F.col("m.node").alias("a"), F.col("m.node").alias("ra"), F.col("m.mass").alias("ma"))
@@ -207,18 +207,19 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
         roots = components(new if roots is None else new.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
         met = hubs.select("bucket", F.col("a").alias("node"), F.lit(True).alias("now"))
         placed = placed.drop("root").join(met, ["bucket", "node"], "left").withColumn("done", F.col("done") | F.col("now").isNotNull()).drop("now")
-        placed = cut(placed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+        placed = stored(placed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
         classes = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("k"), F.count_if(~F.col("done")).alias("todo"))
         main = classes.groupBy("bucket").agg(F.max(F.struct("k", "root", "todo")).alias("m"), F.sum("todo").alias("todo"))
-        main = main.where(F.col("todo") > F.col("m.todo")).select("bucket", F.col("m.root").alias("main"))
-        placed = cut(placed.join(main, "bucket"))  # buckets with texts outside their largest class still to compare
-        if placed.isEmpty():
+        # Buckets with texts outside their largest class still to compare.
+        main = stored(main.where(F.col("todo") > F.col("m.todo")).select("bucket", F.col("m.root").alias("main")))
+        if main.isEmpty():
             break
+        placed = placed.join(main, "bucket")
         turn += 1
         # The limit on the rank is applied before the shuffle as well, so a large bucket never meets in one task.
         order = W.partitionBy("bucket").orderBy(F.col("degree").desc(), "node")
         others = placed.where("root <> main and not done").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= GROWTH**turn)
-        hubs = cut(others.select("bucket", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("mass").alias("ma")))
+        hubs = stored(others.select("bucket", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("mass").alias("ma")))
         placed = placed.drop("main")
     labels = rows.select("did", "rid", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = labels.groupBy("root").agg(F.min("did").alias("class_id"))
