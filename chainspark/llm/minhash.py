@@ -27,6 +27,9 @@ RARE = 0.002
 #: of them a bucket, until each text outside the largest class has been compared. So no link between two classes is lost.
 GROWTH = 32
 SALT = 16
+#: A text's mass is dealt over PARTS by shingle hash, in units of 1/UNIT of it, rounded up. What two texts share is at most
+#: the sum of the smaller masses of each part, so most pairs that don't link are told apart without their texts.
+PARTS, UNIT = 128, 8192
 
 
 def node_of(text: Column) -> Column:
@@ -105,6 +108,16 @@ def band_hashes(keys: np.ndarray, weights: np.ndarray, offsets: np.ndarray) -> n
     return out.view(np.int64)
 
 
+def part_masses(keys: np.ndarray, weights: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mass of each text with shingles, and an upper bound of its share in each part (rows: texts, columns: parts)."""
+    has = np.diff(offsets) > 0
+    text = np.repeat(np.arange(has.sum()), np.diff(offsets)[has])
+    place = text * PARTS + (mix(keys) % np.uint64(PARTS)).astype(np.int64)
+    parts = np.bincount(place, weights.astype(np.float64), minlength=has.sum() * PARTS).reshape(-1, PARTS)
+    mass = parts.sum(1)
+    return mass, np.ceil(parts / mass[:, None] * UNIT - 1e-6).astype(np.int16)
+
+
 def word_weights(docs: DataFrame) -> Weights:
     """Document frequencies over all documents; only those of words that are not rare come to the driver."""
 
@@ -127,12 +140,15 @@ def word_weights(docs: DataFrame) -> Weights:
 def candidates(placed: DataFrame, hubs: DataFrame, least: float) -> DataFrame:
     """Pairs ``a, b`` of a hub and a text of another class in its bucket, each pair once.
 
-    A text that has been a hub in this bucket has met them all. The similarity is never above the ratio of the
-    masses, so pairs of too different masses leave inside the join.
+    A text that has been a hub in this bucket has met them all. Pairs whose masses, or the masses of their parts, are
+    too different for a similarity of ``least`` leave inside the join.
     """
     x, h = placed.where("not done").alias("x"), hubs.alias("h")
     close = F.least("x.mass", "h.ma") >= F.greatest("x.mass", "h.ma") * (least - 1e-4)
-    met = x.join(h, (F.col("x.bucket") == F.col("h.bucket")) & (F.col("x.root") != F.col("h.ra")) & close)
+    smaller = F.zip_with("x.parts", "h.pa", lambda p, q: F.least(p * F.col("x.mass"), q * F.col("h.ma")))
+    shared = F.aggregate(smaller, F.lit(0.0), lambda total, v: total + v) / UNIT
+    enough = shared * (1 + least) >= (F.col("x.mass") + F.col("h.ma")) * (least - 1e-4)
+    met = x.join(h, (F.col("x.bucket") == F.col("h.bucket")) & (F.col("x.root") != F.col("h.ra")) & F.when(close, enough).otherwise(False))
     lo, hi = F.least("node", "a"), F.greatest("node", "a")
     pairs = met.select(lo.alias("lo"), hi.alias("hi"), "a").groupBy("lo", "hi").agg(F.max("a").alias("a"))
     return pairs.select("a", F.when(F.col("a") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("b"))
@@ -186,21 +202,23 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
                 if has.any():
                     bands = band_hashes(key, weight, offsets)
                     lists = pa.FixedSizeListArray.from_arrays(pa.array(bands.ravel()), BANDS).cast(pa.list_(pa.int64()))
-                    mass = np.add.reduceat(weight.astype(np.float64), offsets[:-1][has])
-                    yield pa.RecordBatch.from_arrays([part.column("node").filter(pa.array(has)), lists, pa.array(mass)], names=["node", "bands", "mass"])
+                    mass, parts = part_masses(key, weight, offsets)
+                    parts = pa.FixedSizeListArray.from_arrays(pa.array(parts.ravel()), PARTS).cast(pa.list_(pa.int16()))
+                    yield pa.RecordBatch.from_arrays([part.column("node").filter(pa.array(has)), lists, pa.array(mass), parts], names=["node", "bands", "mass", "parts"])
 
-    bands = rows.select("node", "text").mapInArrow(sketch, "node binary, bands array<bigint>, mass double").dropDuplicates(["node"])
-    bands = stored(bands)  # a hundred bytes a text, instead of sketching twice
-    members = bands.select("node", "mass", F.posexplode("bands").alias("band", "hash"))
+    bands = rows.select("node", "text").mapInArrow(sketch, "node binary, bands array<bigint>, mass double, parts array<smallint>").dropDuplicates(["node"])
+    bands = stored(bands)  # a few hundred bytes a text, instead of sketching twice
+    members = bands.select("node", F.posexplode("bands").alias("band", "hash"))
     sizes = members.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = members.join(sizes, ["band", "hash"])
     degree = members.groupBy("node").agg(F.sum("n").alias("degree"))
-    members = stored(members.join(degree, "node").select(F.xxhash64("band", "hash").alias("bucket"), "node", "mass", "degree"))
+    members = members.join(degree, "node").join(bands.select("node", "mass", "parts"), "node")
+    members = stored(members.select(F.xxhash64("band", "hash").alias("bucket"), "node", "mass", "degree", "parts"))
     texts = stored(rows.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
 
-    best = members.groupBy("bucket").agg(F.max(F.struct("degree", "node", "mass")).alias("m"))
-    hubs = best.select("bucket", F.col("m.node").alias("a"), F.col("m.node").alias("ra"), F.col("m.mass").alias("ma"))
-    placed = members.select("bucket", "node", "mass", "degree", F.col("node").alias("root"), F.lit(False).alias("done"))
+    best = members.groupBy("bucket").agg(F.max(F.struct("degree", "node", "mass", "parts")).alias("m"))
+    hubs = best.select("bucket", F.col("m.node").alias("a"), F.col("m.node").alias("ra"), F.col("m.mass").alias("ma"), F.col("m.parts").alias("pa"))
+    placed = members.select("bucket", "node", "mass", "degree", "parts", F.col("node").alias("root"), F.lit(False).alias("done"))
     roots, turn = None, 0
     while True:
         new = verified(candidates(placed, hubs, least), texts, weights, least)
@@ -219,7 +237,7 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
         # The limit on the rank is applied before the shuffle as well, so a large bucket never meets in one task.
         order = W.partitionBy("bucket").orderBy(F.col("degree").desc(), "node")
         others = placed.where("root <> main and not done").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= GROWTH**turn)
-        hubs = stored(others.select("bucket", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("mass").alias("ma")))
+        hubs = stored(others.select("bucket", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("mass").alias("ma"), F.col("parts").alias("pa")))
         placed = placed.drop("main")
     labels = rows.select("did", "rid", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = labels.groupBy("root").agg(F.min("did").alias("class_id"))
