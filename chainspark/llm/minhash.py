@@ -237,6 +237,8 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
         # The limit on the rank is applied before the shuffle as well, so a large bucket never meets in one task.
         order = W.partitionBy("bucket").orderBy(F.col("degree").desc(), "node")
         others = placed.where("root <> main and not done").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= GROWTH**turn)
+        # A text starts with one of its buckets; once linked there, it mostly needs no other.
+        others = others.withColumn("place", F.row_number().over(W.partitionBy("node").orderBy("bucket"))).where(F.col("place") <= 4 ** (turn - 1))
         hubs = stored(others.select("bucket", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("mass").alias("ma"), F.col("parts").alias("pa")))
         placed = placed.drop("main")
     labels = rows.select("did", "rid", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

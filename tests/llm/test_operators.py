@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,3 +178,16 @@ def test_toxicity(spark):
     assert np.mean([(score[i] >= 0.7) == (i % 4 == 0) for i in held]) > 0.95 and 0 <= score[9001] <= 1
     none = toxicity.fit(docs.limit(0), table.limit(0))
     assert toxicity.ordinary_documents(docs, none).count() == docs.count()
+
+
+def test_part_masses_bound_what_texts_share():
+    rng = np.random.default_rng(3)
+    texts = pa.array([" ".join(f"w{x}" for x in rng.integers(0, 40, n)) for n in (60, 60, 7, 300)])
+    keys, weights, offsets = minhash.Weights(np.zeros(0, np.int64), np.zeros(0), 10).shingles(texts)
+    mass, parts = minhash.part_masses(keys, weights, offsets)
+    held = [dict(zip(keys[a:b].tolist(), weights[a:b].tolist())) for a, b in zip(offsets, offsets[1:])]
+    for i in range(4):
+        assert abs(mass[i] - sum(held[i].values())) < 1e-3
+        for j in range(4):
+            shared = sum(min(w, held[j].get(k, 0)) for k, w in held[i].items())
+            assert np.minimum(parts[i] * mass[i], parts[j] * mass[j]).sum() / minhash.UNIT >= shared - 1e-3
