@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import ontology
-from ..operators import catalog, evaluate, vetting
+from ..operators import catalog, evaluate, meta, vetting
 
 TOOL_IDS = [*[t[0] for t in ontology.TOOLS], "homemade", None]
 ROLE_IDS = [r[1] for r in ontology.role_rows()]
@@ -153,3 +153,14 @@ SELECT dataset_id, rank, rec_id, CAST(axes AS INT) AS axes FROM r WHERE rank <=
 
 
 SQL = _sql()
+
+
+def role_gaps(spark, sf_dir):
+    return meta.orphan_roles(steps(spark, sf_dir))
+
+
+QUERIES["role_gaps"] = role_gaps
+SQL["role_gaps"] = SQL["chain_divergences"].split(",\ng AS")[0] + """,
+u AS (SELECT role, chain, CAST(count(DISTINCT rec_id) AS DOUBLE) / any_value(n) AS share FROM steps JOIN (SELECT chain, count(DISTINCT rec_id) AS n FROM steps GROUP BY chain) USING (chain) GROUP BY role, chain),
+s AS (SELECT role, coalesce(max(share) FILTER (chain = 'observed'), 0.0) AS observed, coalesce(max(share) FILTER (chain = 'claimed'), 0.0) AS claimed FROM u GROUP BY role)
+SELECT role, observed, claimed, observed - claimed AS gap FROM s"""

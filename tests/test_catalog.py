@@ -6,11 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from chainspark import ontology
-from chainspark.operators import catalog, evaluate, vetting
+from chainspark.operators import catalog, evaluate, meta, vetting
 from chainspark.plans import catalog as plans
 from chainspark.sources import files
 
-DATA = "/root/testdata/sf0.001"
+DATA = "/root/testdata/sf0.01"
 
 
 @pytest.mark.parametrize("name", sorted(plans.QUERIES))
@@ -86,3 +86,11 @@ def test_candidates_rank_and_wildcards(spark):
     records = spark.createDataFrame([("x", "usable", ["P0"], [], ["E0"]), ("y", "usable", None, ["ANY"], []), ("z", "reference", ["P1"], [], []), ("w", None, ["P0"], ["S1"], [])], "rec_id string, tier string, platforms array<string>, strategies array<string>, environments array<string>")
     got = vetting.ranked_candidates(datasets, records).select("rec_id", F.col("rank")).collect()
     assert [(r.rec_id, r["rank"]) for r in got] == [("x", 1), ("y", 2)]
+
+
+def test_archetypes_and_stale(spark):
+    steps = spark.createDataFrame([("r", "trim"), ("r", "bin"), ("q", "report")], "rec_id string, role string")
+    dim = spark.createDataFrame([("a", ["trim", "bin"], None), ("b", [], ["report"]), ("c", None, None), ("d", ["trim", "report"], [])], "id string, required_roles array<string>, expected_roles array<string>")
+    assert sorted(tuple(r) for r in meta.archetypes_of(steps, dim).collect()) == [("q", "b"), ("r", "a")]
+    judged = spark.createDataFrame([(1, "m", "v1"), (2, "m", None), (3, "n", "v1")], "id int, model string, prompt_version string")
+    assert [r.id for r in meta.stale(judged, "m", "v1").collect()] == [2, 3]
