@@ -180,6 +180,16 @@ def test_toxicity(spark):
     assert toxicity.ordinary_documents(docs, none).count() == docs.count()
 
 
+def test_toxicity_of_a_rare_class(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join([f"w{x}" for x in rng.integers(0, 8000, 60)] + ["slur"] * (i % 50 == 0))) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, int(i % 50 == 0)) for i, _ in rows], "doc_id bigint, toxic int"))
+    seen = np.array(sorted({w for i, t in rows if i % 50 == 0 for w in t.split()}))
+    toxic = model.words[model.word_ratio > 0]
+    assert len(toxic) and np.isin(toxic, toxicity.hash64(pa.array(seen))).all()
+
+
 def test_part_masses_bound_what_texts_share():
     rng = np.random.default_rng(3)
     texts = pa.array([" ".join(f"w{x}" for x in rng.integers(0, 40, n)) for n in (60, 60, 7, 300)])
