@@ -160,6 +160,24 @@ def test_language_model(docs, empty, rows):
     assert model.n == sum(r.n_tokens for r in got) and all(r.n_known == r.n_tokens for r in got) and tokens
 
 
+def test_classes_come_from_all_texts(spark, monkeypatch):
+    monkeypatch.setattr(brown, "SEEDS", 40)
+    rng = np.random.default_rng(6)
+    texts = [(" ".join(f"w{int(x)}" for x in rng.zipf(1.3, 60) % 300),) for _ in range(120)]
+    whole = spark.createDataFrame(texts, "text string").coalesce(1)
+    model, words = brown.fit(whole)
+    cut_up, cut_words = brown.fit(whole.repartition(8))
+    cls = {r.h: (r.n, r.cls) for r in words.collect()}
+    assert cls == {r.h: (r.n, r.cls) for r in cut_words.collect()} and np.array_equal(model.log_t, cut_up.log_t)
+    want = np.zeros((brown.CLASSES + 1, brown.CLASSES + 1))
+    codes, hashed, offsets = brown.tokens(pa.array([t for t, in texts]))
+    own = np.array([cls[h][1] for h in hashed.tolist()])[codes]
+    np.add.at(want, (brown.before(own, offsets, brown.CLASSES), own), 1)
+    assert [cls[h][0] for h in hashed.tolist()] == np.bincount(codes).tolist()
+    size = np.bincount(own, minlength=brown.CLASSES + 1)
+    assert np.allclose(model.log_t, brown.log_transitions(want, (size + 0.5) / (size + 0.5).sum()))
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(1)
     rows, labels = [], []
