@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,20 +20,32 @@ WORD = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 8 << 20
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder that all executors share and read it from there."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that all executors share.
+
+    Where none is set, a temporary folder serves a session that runs in one process; on a cluster that is an error.
+    """
     context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="checkpoint-")
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(folder)
+    return folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the checkpoint folder and read it from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
 def stored(df: DataFrame) -> DataFrame:
     """Like ``cut``, as a Parquet table in that folder: computed once, compressed, and of a size that planning knows."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="checkpoint-")
-    df.write.parquet(path := f"{folder}/{uuid.uuid4().hex}")
+    df.write.parquet(path := f"{shared_folder(spark)}/{uuid.uuid4().hex}")
     return spark.read.schema(df.schema).parquet(path)
 
 

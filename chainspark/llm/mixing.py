@@ -1,9 +1,10 @@
 """Mix sources to target weights with a low-discrepancy schedule of equal-token blocks.
 
-Each source's documents stand in a shuffled order and are cut into blocks of ``block`` words. Slot i of the
-schedule holds the golden-ratio point frac(i * phi); the cumulative target weights map it to a source, the
-slots of a source are ranked, and rank r takes block r of the source, starting again after the last one.
-Any prefix of the schedule is thus mixed in nearly the target proportions. Only DataFrame functions are used.
+Each source's documents stand in a shuffled order and are cut into blocks of equally many words (``block``, or fewer
+where a source's target is small). Slot i of the schedule holds the golden-ratio point frac(i * phi); the cumulative
+shares of the sources, in blocks, map it to a source, the slots of a source are ranked, and rank r takes block r of
+the source, starting again after the last one. Any prefix of the schedule is thus mixed in nearly the target
+proportions. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from .common import WORD, cut, key_of, read
 
 GOLDEN = 0.6180339887498949
 CELLS, HASH_BUCKETS, CHUNK = 4096, 1024, 1 << 16
+#: A source gets blocks so small that its target is at least so many of them, as far as words allow.
+LEAST_BLOCKS = 256
 
 
 def div(a: Column, b) -> Column:
@@ -27,8 +30,8 @@ def source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
 
 
-def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, repeat: float) -> DataFrame:
-    """One row per source (``skey, source, source_size`` in): its number and target words.
+def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, repeat: float, block: int) -> DataFrame:
+    """One row per source (``skey, source, source_size`` in): its number, target words, words a block and blocks.
 
     The k-th source in code point order (null last) weighs ``weights[k mod n]``. Targets are min(repeat * size,
     level * weight), the point where sharing out the excess again and again ends; the level comes from sources
@@ -45,24 +48,26 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, r
     fits = F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.struct("at", "level"))
     levels = levels.withColumn("first", F.min(fits).over(whole))
     target = F.least("cap", F.coalesce(F.col("first.level") * F.col("weight"), F.col("cap")))
-    return levels.select("skey", "no", "source_size", target.alias("target"))
+    targets = levels.select("skey", "no", "source_size", target.alias("target"))
+    words = F.least(F.lit(block), F.greatest(F.lit(1), F.floor(F.col("target") / LEAST_BLOCKS))).cast("bigint")
+    return targets.withColumn("block_size", words).withColumn("blocks", F.ceil(F.col("source_size") / F.col("block_size")))
 
 
-def schedule(spark: SparkSession, targets: DataFrame, block: int) -> DataFrame:
-    """One row per slot: ``slot, skey, rank`` and ``block`` of the source's shuffled stream."""
-    total = targets.agg(F.sum("target").alias("t"), F.count(F.lit(1)).alias("n")).first()  # two numbers
-    slots = round((total.t or 0.0) / block) if total.n else 0
+def schedule(spark: SparkSession, targets: DataFrame) -> DataFrame:
+    """One row per slot: ``slot, skey, rank, blocks`` and ``block`` of the source's shuffled stream.
+
+    A source without words gets no slot. Its share of the slots is its target in blocks of its mean block size.
+    """
+    some = targets.where("source_size > 0").withColumn("slots", F.col("target") * F.col("blocks") / F.col("source_size"))
+    total = some.agg(F.sum("slots")).first()[0] or 0.0  # one number
     upto = W.orderBy("no")
-    high = F.sum("target").over(upto) / F.lit(total.t or 1.0)
-    low = F.coalesce(F.sum("target").over(upto.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)) / F.lit(total.t or 1.0)
-    spans = targets.select(
-        "skey", "no", F.ceil(F.col("source_size") / block).alias("blocks"), low.alias("low"),
-        F.when(F.col("no") == F.max("no").over(W.partitionBy(F.lit(1))), F.lit(2.0)).otherwise(high).alias("high"),
-    )
+    high = F.sum("slots").over(upto) / F.lit(total or 1.0)
+    low = F.coalesce(F.sum("slots").over(upto.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)) / F.lit(total or 1.0)
+    spans = some.select("skey", "no", "blocks", low.alias("low"), F.when(F.col("no") == F.max("no").over(W.partitionBy(F.lit(1))), F.lit(2.0)).otherwise(high).alias("high"))
     # A point meets the few sources of its cell only: an even equi-join for any number of sources.
     cell = lambda x: F.least(F.floor(x * CELLS), F.lit(CELLS - 1))
     spans = spans.withColumn("cell", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high")))))
-    points = spark.range(slots).select(F.col("id").alias("slot"), F.pmod(F.col("id") * F.lit(GOLDEN), F.lit(1.0)).alias("x")).withColumn("cell", cell(F.col("x")))
+    points = spark.range(round(total)).select(F.col("id").alias("slot"), F.pmod(F.col("id") * F.lit(GOLDEN), F.lit(1.0)).alias("x")).withColumn("cell", cell(F.col("x")))
     hit = points.join(spans, "cell").where("low <= x and x < high").select("slot", "skey", "blocks", div(F.col("slot"), CHUNK).alias("chunk"))
     counts = hit.groupBy("skey", "chunk").agg(F.count(F.lit(1)).alias("n"))
     earlier = W.partitionBy("skey").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
@@ -91,18 +96,18 @@ def mix_documents(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, repeat
 
     Null texts have size 0; documents without words, and sources of such documents only, are taken 0 times.
     Rows that repeat are taken one by one. At most ``repeat`` passes go over a source. ``key`` is the 64-bit
-    hash of id and text, for joining back.
+    hash of id and text, for joining back. An empty table gives no rows.
     """
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("bigint")
     rows = cut(docs.select("doc_id", key_of(F.col("doc_id"), F.col("text")).alias("key"), F.col("source").cast("string").alias("source"), source_key(F.col("source")).alias("skey"), size.alias("size")))
-    targets = source_targets(rows.groupBy("skey", "source").agg(F.sum("size").alias("source_size")), weights, share, repeat)
+    targets = source_targets(rows.groupBy("skey", "source").agg(F.sum("size").alias("source_size")), weights, share, repeat, block)
     targets = cut(targets)  # one row per source
-    slots = schedule(rows.sparkSession, targets, block)
+    slots = schedule(rows.sparkSession, targets)
     takes = slots.where(F.col("rank") < F.col("blocks") * int(repeat)).groupBy("skey", "block").agg(F.count(F.lit(1)).alias("times"))
-    placed = streams(rows.where("size > 0").select("doc_id", "key", "skey", "size"), seed)
-    end = F.col("start") + F.col("size")
-    pieces = placed.withColumn("block", F.explode(F.sequence(div(F.col("start"), block), div(end - 1, block))))
-    words = F.least(end, (F.col("block") + 1) * block) - F.greatest("start", F.col("block") * block)
+    placed = streams(rows.where("size > 0").select("doc_id", "key", "skey", "size"), seed).join(targets.select("skey", "block_size"), "skey")
+    end, b = F.col("start") + F.col("size"), F.col("block_size")
+    pieces = placed.withColumn("block", F.explode(F.sequence(div(F.col("start"), b), div(end - 1, b))))
+    words = F.least(end, (F.col("block") + 1) * b) - F.greatest("start", F.col("block") * b)
     got = pieces.withColumn("words", words).join(takes, ["skey", "block"], "left")
     taken = got.groupBy("skey", "start", "doc_id", "key", "size").agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).alias("taken")).drop("start")
     empty = rows.where("size = 0").select("skey", "doc_id", "key", "size", F.lit(0).cast("bigint").alias("taken"))
@@ -110,13 +115,19 @@ def mix_documents(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, repeat
 
 
 def mixed_copies(docs: DataFrame, **options) -> DataFrame:
-    """The mix as documents: every row as many times as the mix takes it, to the nearest whole (0, 1 or 2)."""
-    plan = mix_documents(docs, **options).groupBy("key").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
-    copies = plan.select(F.col("key").alias("mix_key"), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("mix_copies")).where("mix_copies > 0")
-    kept = docs.join(copies, key_of(docs["doc_id"], docs["text"]) == copies["mix_key"])
-    repeats = kept.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
-    return repeats.select(*[docs[c] for c in docs.columns])
+    """The mix as documents: every row as many times as the mix takes it, to the nearest whole (0, 1 or 2).
+
+    Documents without words (null, empty or white space only) add nothing to a mix measured in words and are in it no
+    times. Rows of equal id and text are taken equally often. The columns are those of ``docs``, whatever their names.
+    """
+    plan = mix_documents(docs, **options).where("size > 0").groupBy("key").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
+    copies = plan.select("key", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("copies")).where("copies > 0")
+    rest = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    kept = docs.select(key_of(docs["doc_id"], docs["text"]).alias("key"), rest).join(copies, "key")
+    repeats = kept.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return repeats.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mix of all ``documents``; see ``mix_documents`` for nulls, empty texts, repeated rows and empty tables."""
     return mix_documents(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
