@@ -25,3 +25,17 @@ def components(edges: DataFrame) -> DataFrame:
         if new.where("root <> old").isEmpty():
             return new.select("node", "root")
         labels = new.select("node", "root")
+
+
+def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` (``node, root``) after more links ``a, b``: only the classes that the links join are worked on.
+
+    A node that ``roots`` doesn't hold is a class of its own.
+    """
+    own = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    edges = links.join(own("a"), "a", "left").join(own("b"), "b", "left")
+    edges = edges.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    higher = components(edges)
+    known = roots.join(higher.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
+    new = higher.join(roots, "node", "left_anti")
+    return stored(known.select("node", F.coalesce("top", "root").alias("root")).unionByName(new))

@@ -15,10 +15,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import hash64, key_of, look_up, mix, read, slices, split_words, stored, word_codes
-from .components import components
+from .components import components, joined
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS = 10, 4
+BANDS, ROWS = 14, 4
 #: Words in fewer than this share of the documents all get the largest weight, so the table of the others is bounded
 #: by the mean number of distinct words of a document divided by it, whatever the number of documents.
 RARE = 0.002
@@ -71,8 +71,16 @@ class Weights:
             key = np.where(use, mix(key + hashed[place]), key)
             weight += np.where(use, idf[place], 0.0)
         weight /= width
-        order = np.lexsort((key, text))
-        key, text, weight = key[order], text[order], weight[order]
+        # Text number and the upper bits of the shingle in one number sort faster than one after the other; the shingle's
+        # own bits decide where the upper ones are equal.
+        bits = np.uint64(max(int(len(n)).bit_length(), 1))
+        packed = text.astype(np.uint64) << (np.uint64(64) - bits) | key >> bits
+        order = np.argsort(packed)
+        packed, key, text, weight = packed[order], key[order], text[order], weight[order]
+        tied = np.flatnonzero((packed[1:] == packed[:-1]) & (key[1:] != key[:-1]))
+        if len(tied):
+            order = np.lexsort((key, text))
+            key, text, weight = key[order], text[order], weight[order]
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1])
         head = np.flatnonzero(new)
@@ -141,14 +149,16 @@ def candidates(placed: DataFrame, hubs: DataFrame, least: float) -> DataFrame:
     """Pairs ``a, b`` of a hub and a text of another class in its bucket, each pair once.
 
     A text that has been a hub in this bucket has met them all. Pairs whose masses, or the masses of their parts, are
-    too different for a similarity of ``least`` leave inside the join.
+    too different for a similarity of ``least`` leave inside the join, and so does a pair in all but the first of the
+    buckets in which the hub meets the text.
     """
     x, h = placed.where("not done").alias("x"), hubs.alias("h")
     close = F.least("x.mass", "h.ma") >= F.greatest("x.mass", "h.ma") * (least - 1e-4)
     smaller = F.zip_with("x.parts", "h.pa", lambda p, q: F.least(p * F.col("x.mass"), q * F.col("h.ma")))
     shared = F.aggregate(smaller, F.lit(0.0), lambda total, v: total + v) / UNIT
     enough = shared * (1 + least) >= (F.col("x.mass") + F.col("h.ma")) * (least - 1e-4)
-    met = x.join(h, (F.col("x.bucket") == F.col("h.bucket")) & (F.col("x.root") != F.col("h.ra")) & F.when(close, enough).otherwise(False))
+    first = F.array_min(F.array_intersect("x.buckets", "h.places")) == F.col("x.bucket")
+    met = x.join(h, (F.col("x.bucket") == F.col("h.bucket")) & (F.col("x.root") != F.col("h.ra")) & F.when(close, F.when(enough, first)).otherwise(False))
     lo, hi = F.least("node", "a"), F.greatest("node", "a")
     pairs = met.select(lo.alias("lo"), hi.alias("hi"), "a").groupBy("lo", "hi").agg(F.max("a").alias("a"))
     return pairs.select("a", F.when(F.col("a") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("b"))
@@ -212,17 +222,19 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     sizes = members.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = members.join(sizes, ["band", "hash"])
     degree = members.groupBy("node").agg(F.sum("n").alias("degree"))
-    members = members.join(degree, "node").join(bands.select("node", "mass", "parts"), "node")
-    members = stored(members.select(F.xxhash64("band", "hash").alias("bucket"), "node", "mass", "degree", "parts"))
+    buckets = F.transform("bands", lambda h, i: F.xxhash64(i, h))
+    members = members.join(degree, "node").join(bands.select("node", "mass", "parts", buckets.alias("buckets")), "node")
+    members = stored(members.select(F.xxhash64("band", "hash").alias("bucket"), "node", "mass", "degree", "parts", "buckets"))
     texts = stored(rows.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
 
     best = members.groupBy("bucket").agg(F.max(F.struct("degree", "node", "mass", "parts")).alias("m"))
-    hubs = best.select("bucket", F.col("m.node").alias("a"), F.col("m.node").alias("ra"), F.col("m.mass").alias("ma"), F.col("m.parts").alias("pa"))
-    placed = members.select("bucket", "node", "mass", "degree", "parts", F.col("node").alias("root"), F.lit(False).alias("done"))
+    places = F.collect_list("bucket").over(W.partitionBy("a")).alias("places")  # no more than bands
+    hubs = best.select("bucket", F.col("m.node").alias("a"), F.col("m.node").alias("ra"), F.col("m.mass").alias("ma"), F.col("m.parts").alias("pa")).select("*", places)
+    placed = members.withColumn("root", F.col("node")).withColumn("done", F.lit(False))
     roots, turn = None, 0
     while True:
         new = verified(candidates(placed, hubs, least), texts, weights, least)
-        roots = components(new if roots is None else new.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        roots = components(new) if roots is None else joined(roots, new)
         met = hubs.select("bucket", F.col("a").alias("node"), F.lit(True).alias("now"))
         placed = placed.drop("root").join(met, ["bucket", "node"], "left").withColumn("done", F.col("done") | F.col("now").isNotNull()).drop("now")
         placed = stored(placed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
@@ -239,7 +251,7 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
         others = placed.where("root <> main and not done").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= GROWTH**turn)
         # A text starts with one of its buckets; once linked there, it mostly needs no other.
         others = others.withColumn("place", F.row_number().over(W.partitionBy("node").orderBy("bucket"))).where(F.col("place") <= 4 ** (turn - 1))
-        hubs = stored(others.select("bucket", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("mass").alias("ma"), F.col("parts").alias("pa")))
+        hubs = stored(others.select("bucket", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("mass").alias("ma"), F.col("parts").alias("pa")).select("*", places))
         placed = placed.drop("main")
     labels = rows.select("did", "rid", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = labels.groupBy("root").agg(F.min("did").alias("class_id"))
