@@ -284,6 +284,32 @@ def encode_documents(docs: DataFrame, file: str) -> DataFrame:
     return map_tokens(docs, file, "text", "n_tokens bigint, ids array<int>", result)
 
 
+def decode_documents(coded: DataFrame, file: str, ids: str = "ids", text: str = "text") -> DataFrame:
+    """``coded`` with the text that the ids of each row stand for in column ``text``, replaced if there. No shuffle.
+
+    Bytes that form no character become U+FFFD, as the public decoder does. Null and empty lists give empty text.
+    """
+    shared = coded.sparkSession.sparkContext.broadcast(file)
+    kept = [c for c in coded.columns if c != text]
+    full = coded.select(*[coded[c] for c in kept])
+
+    def run(batches):
+        words = vocabulary(shared.value)
+        for batch in batches:
+            lists = pc.fill_null(batch.column(ids), [])
+            size = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            part = (np.cumsum(size) - size) // SLICE_BYTES
+            starts = np.flatnonzero(np.diff(part, prepend=-1))
+            for a, b in zip(starts, [*starts[1:], batch.num_rows]):
+                some = lists.slice(int(a), int(b - a))
+                cuts = pa.array(np.concatenate([[0], np.cumsum(size[a:b])]), pa.int32())
+                joined = pc.binary_join(pa.ListArray.from_arrays(cuts, words.raw.take(some.flatten())), b"")
+                texts = pa.array([x.decode("utf-8", "replace") for x in joined.to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays([*batch.slice(int(a), int(b - a)).columns, texts], names=[*kept, text])
+
+    return full.mapInArrow(run, full.schema.add(text, "string"))
+
+
 def decode_ids(ids: list[int], file: str) -> str:
     """The text of a list of ids; bytes that form no character become U+FFFD, as the public decoder does."""
     words = vocabulary(file)
