@@ -34,8 +34,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids in place of the text."""
-    return bpe.encode_documents(docs, bpe.public_file())
+    """Token ids of each text, and the text that they give when decoded."""
+    file = bpe.public_file()
+    return bpe.decode_documents(bpe.encode_documents(docs, file), file)
 
 
 STAGES = [
@@ -50,8 +51,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what a stage keeps is written before the next one reads it."""
+    """All stages over ``documents``; what a stage keeps is written as Parquet before the next one reads it."""
     docs = common.read(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = common.cut(stage(spark, docs, sf_dir))
+        docs = common.stored(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
