@@ -21,6 +21,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import SLICE_BYTES, flat_array, look_up, read, slices
 
@@ -292,6 +293,7 @@ def decode_documents(coded: DataFrame, file: str, ids: str = "ids", text: str =
     shared = coded.sparkSession.sparkContext.broadcast(file)
     kept = [c for c in coded.columns if c != text]
     full = coded.select(*[coded[c] for c in kept])
+    schema = T.StructType([*full.schema.fields, T.StructField(text, T.StringType())])
 
     def run(batches):
         words = vocabulary(shared.value)
@@ -307,7 +309,7 @@ def decode_documents(coded: DataFrame, file: str, ids: str = "ids", text: str =
                 texts = pa.array([x.decode("utf-8", "replace") for x in joined.to_pylist()], pa.string())
                 yield pa.RecordBatch.from_arrays([*batch.slice(int(a), int(b - a)).columns, texts], names=[*kept, text])
 
-    return full.mapInArrow(run, full.schema.add(text, "string"))
+    return full.mapInArrow(run, schema)
 
 
 def decode_ids(ids: list[int], file: str) -> str:
