@@ -250,10 +250,11 @@ def vocabulary(file: str) -> Vocabulary:
     return _loaded[key]
 
 
-def map_tokens(docs: DataFrame, file: str, column: str, schema: str, result) -> DataFrame:
+def map_tokens(docs: DataFrame, file: str, column: str, schema: str, result, limit: int = 2 * SLICE_BYTES) -> DataFrame:
     """``docs`` without ``column`` plus what ``result(ids, joined, decoded)`` gives for each text (a tuple for ``schema``).
 
-    ``file`` is the JSON text of the vocabulary: a megabyte or two, whatever the corpus. No shuffle.
+    ``file`` is the JSON text of the vocabulary: a megabyte or two, whatever the corpus. About ``limit`` bytes of texts
+    are worked on at once. No shuffle.
     """
     shared = docs.sparkSession.sparkContext.broadcast(file)
     kept = [c for c in docs.columns if c != column]
@@ -265,7 +266,7 @@ def map_tokens(docs: DataFrame, file: str, column: str, schema: str, result) ->
     def run(batches):
         words = vocabulary(shared.value)
         for batch in batches:
-            for part in slices(batch, column, 2 * SLICE_BYTES):
+            for part in slices(batch, column, limit):
                 out: list = [None] * part.num_rows
                 for at, ends, ids, joined, back in words.texts(part.column(column)):
                     for i, k, text, raw in zip(at.tolist(), range(len(at)), joined, back):
@@ -276,13 +277,18 @@ def map_tokens(docs: DataFrame, file: str, column: str, schema: str, result) ->
     return docs.select(*[docs[c] for c in kept], docs[column]).mapInArrow(run, f"{names}, {schema}" if names else schema)
 
 
-def encode_documents(docs: DataFrame, file: str) -> DataFrame:
-    """``docs`` with ``ids`` (array<int>) and ``n_tokens`` in place of the text. Null and empty texts: no ids."""
+def encode_documents(docs: DataFrame, file: str, decoded: str | None = None) -> DataFrame:
+    """``docs`` with ``ids`` (array<int>) and ``n_tokens`` in place of the text. Null and empty texts: no ids.
 
-    def result(ids, _, __):
-        return len(ids), ids.astype(np.int32)
+    With ``decoded``, a column of that name holds what the ids give when decoded, made in the same pass.
+    """
+
+    def result(ids, _, back):
+        out = len(ids), ids.astype(np.int32)
+        return (*out, back.decode("utf-8", "replace")) if decoded else out
 
-    return map_tokens(docs, file, "text", "n_tokens bigint, ids array<int>", result)
+    schema = "n_tokens bigint, ids array<int>" + (f", {decoded} string" if decoded else "")
+    return map_tokens(docs, file, "text", schema, result, SLICE_BYTES // 2)
 
 
 def decode_documents(coded: DataFrame, file: str, ids: str = "ids", text: str = "text") -> DataFrame:

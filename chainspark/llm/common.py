@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 #: A word, as every contract of this subpackage has it: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Working memory of a Python task follows this, whatever the length of a batch.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -72,6 +73,15 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
     starts = np.flatnonzero(np.diff(part, prepend=-1))
     for a, b in zip(starts, [*starts[1:], batch.num_rows]):
         yield batch.slice(int(a), int(b - a))
+    give_back()
+
+
+def give_back() -> None:
+    """Memory that a Python worker no longer uses goes back to the system: a worker outlives its task, and what Arrow and
+    the C library hold in reserve would add up over the stages of a job."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def flat_array(values: pa.Array | pa.ChunkedArray) -> pa.Array:
