@@ -35,8 +35,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and the text that they give when decoded."""
-    file = bpe.public_file()
-    return bpe.decode_documents(bpe.encode_documents(docs, file), file)
+    return bpe.encode_documents(docs, bpe.public_file(), decoded="text")
 
 
 STAGES = [
