@@ -24,6 +24,15 @@ def corpus_filter(papers: DataFrame, sources=None, preprints_only=False, year_fr
     return kept
 
 
+HIT = "id string, doi string, title string, authorString string, firstPublicationDate string, pubYear string, journalTitle string, bookOrReportDetails struct<publisher: string>, isOpenAccess string, inEPMC string, pmcid string, source string"
+
+
+def hits_of(responses: DataFrame, body: str = "body") -> DataFrame:
+    """Search responses (JSON text with ``resultList.result[]``) as one row per hit; one that isn't JSON has no hits."""
+    found = F.from_json(body, f"resultList struct<result: array<struct<{HIT}>>>")
+    return responses.select(F.explode(found["resultList"]["result"]).alias("hit")).select("hit.*", F.col("hit.bookOrReportDetails.publisher").alias("publisher"))
+
+
 def papers_of(hits: DataFrame) -> DataFrame:
     """Search hits as papers: the first filled column of each choice, else empty text."""
     filled = lambda *names: F.coalesce(*[F.nullif(F.col(n), F.lit("")) for n in names])

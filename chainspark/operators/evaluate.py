@@ -28,7 +28,7 @@ def assertions(chains: DataFrame, expect: DataFrame) -> DataFrame:
     }
     ok = F.coalesce(*[F.when(F.col("kind") == k, v) for k, v in kinds.items()], F.lit(False))
     label = F.concat_ws(":", "kind", "arg", "arg2")
-    return flat.join(F.broadcast(expect), "fixture_id").select("run", "fixture_id", label.alias("label"), ok.alias("ok"))  # written by hand, a few hundred rows
+    return flat.join(expect, "fixture_id").select("run", "fixture_id", label.alias("label"), ok.alias("ok"))
 
 
 def passed(results: DataFrame) -> DataFrame:
@@ -45,3 +45,24 @@ def role_scores(steps: DataFrame, labelled: DataFrame) -> DataFrame:
     a, b = (t.select("doc", "role").distinct().withColumn(n, F.lit(1)) for t, n in ((steps, "got"), (labelled, "want")))
     hits = F.count_if(F.col("got").isNotNull() & F.col("want").isNotNull())
     return a.join(b, ["doc", "role"], "full").agg(F.try_divide(hits, F.count("got")).alias("precision"), F.try_divide(hits, F.count("want")).alias("recall"))
+
+
+def run_costs(runs: DataFrame) -> DataFrame:
+    """Per fixture: runs, failed runs, seconds, tokens and the share of reasoning among them. Failed runs are counted, not fatal.
+
+    ``runs``: ``fixture_id, error, elapsed_s, completion_tokens, reasoning_tokens``.
+    """
+    fine = F.col("error").isNull()
+    when = lambda c: F.sum(F.when(fine, F.col(c)))
+    return runs.groupBy("fixture_id").agg(
+        F.count(F.lit(1)).alias("runs"), F.count_if(~fine).alias("errors"), when("elapsed_s").alias("seconds"), F.avg(F.when(fine, F.col("elapsed_s"))).alias("seconds_a_run"),
+        when("completion_tokens").alias("tokens"), F.try_divide(when("reasoning_tokens").cast("double"), when("completion_tokens").cast("double")).alias("reasoning_share"),
+    )
+
+
+def chosen_fixtures(fixtures: DataFrame, ids: list[str] | None = None) -> DataFrame:
+    """All fixtures, or those of the given ids; a choice that finds none is an error."""
+    chosen = fixtures.where(F.col("fixture_id").isin(*ids)) if ids else fixtures
+    if chosen.isEmpty():
+        raise ValueError(f"no fixture of {ids or 'any id'}")
+    return chosen

@@ -1,8 +1,9 @@
-"""Archetypes of chains, roles that one side leaves out, substitutes, and judgments to renew."""
+"""Archetypes of chains and their usual forms, substitutes, roles that one side leaves out, holes, judgments to renew."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -28,3 +29,65 @@ def stale(judgments: DataFrame, model: str, prompt_version: str) -> DataFrame:
     """Judgments of another model or prompt than the present ones; a missing name counts as another."""
     now = F.col("model").eqNullSafe(F.lit(model)) & F.col("prompt_version").eqNullSafe(F.lit(prompt_version))
     return judgments.where(~now)
+
+
+def archetype_consensus(chains: DataFrame, *by: str) -> DataFrame:
+    """Per archetype (and ``by``): chains, variants, the most frequent role sequence and its share; ties to the smaller one.
+
+    ``chains``: ``archetype, sequence`` and ``by``, a row for each chain. Sequences are counted before they are ranked.
+    """
+    counts = chains.groupBy("archetype", *by, "sequence").agg(F.count(F.lit(1)).alias("n"))
+    per = counts.groupBy("archetype", *by).agg(F.sum("n").alias("chains"), F.count(F.lit(1)).alias("variants"), F.min(F.struct((-F.col("n")).alias("m"), "sequence")).alias("top"))
+    return per.select("archetype", *by, "chains", "variants", F.col("top.sequence").alias("sequence"), (-F.col("top.m") / F.col("chains")).alias("share"))
+
+
+def substitutes(counts: DataFrame, top_n: int = 20) -> DataFrame:
+    """Pairs of tools at one role of an archetype, ``a`` before ``b`` by name, with their shares of the role's uses.
+
+    ``counts``: ``archetype, role, key, n``. Pairs are made among the ``top_n`` tools of a role.
+    """
+    place = ["archetype", "role"]
+    total = counts.groupBy(*place).agg(F.sum("n").alias("all"))
+    order = W.partitionBy(*place).orderBy(F.desc("n"), "key")
+    ranked = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_n)
+    shares = ranked.join(total, place).select(*place, "key", (F.col("n") / F.col("all")).alias("share"))
+    a, b = (shares.withColumnsRenamed({"key": x, "share": f"share_{x}"}) for x in "ab")
+    return a.join(b, place).where("a < b")
+
+
+def coverage_holes(records: DataFrame, axes: dict[str, list[str]]) -> DataFrame:
+    """Cells of the axes that no record covers. ``records`` have an array for each axis; empty or ``ANY`` covers all.
+
+    The axes are closed lists of some dozens of values, and so is their grid.
+    """
+    grid = records.sparkSession.range(1).select()
+    for name, values in axes.items():
+        grid = grid.withColumn(name, F.explode(F.array(*map(F.lit, values))))
+    covered = records.select(*axes)
+    for name, values in axes.items():
+        every = F.array(*map(F.lit, values))
+        open_ = (F.coalesce(F.size(name), F.lit(0)) <= 0) | F.array_contains(name, "ANY")
+        covered = covered.withColumn(name, F.explode(F.when(open_, every).otherwise(F.col(name)))).distinct()
+    return grid.join(covered, list(axes), "left_anti")
+
+
+def opaque_suites(steps: DataFrame, tools: DataFrame) -> DataFrame:
+    """``rec_id`` of chains that are one call of a suite. ``tools``: ``id, kind``."""
+    kinds = steps.join(tools.select(F.col("id").alias("tool"), "kind"), "tool", "left")
+    suite = F.coalesce(F.col("kind") == "suite", F.lit(False))
+    return kinds.groupBy("rec_id").agg(F.count(F.lit(1)).alias("n"), F.bool_and(suite).alias("suite")).where("n = 1 and suite").select("rec_id")
+
+
+def ladder_differences(datasets: DataFrame, first: DataFrame, rules: list[tuple[str, str]], otherwise: str) -> DataFrame:
+    """Datasets for which the best-ranked record is another than the old ladder of rules (strategy, record) gives.
+
+    ``first``: ``dataset_id, rec_id`` of rank 1.
+    """
+    old = F.coalesce(*[F.when(F.upper("strategy") == s, F.lit(r)) for s, r in rules], F.lit(otherwise))
+    both = datasets.select("dataset_id", old.alias("by_rules")).join(first.select("dataset_id", F.col("rec_id").alias("by_rank")), "dataset_id", "left")
+    return both.where(~F.col("by_rules").eqNullSafe(F.col("by_rank")))
+
+
+def leading_periods(drifts: DataFrame) -> DataFrame:
+    """First and last period in which each tool leads a role. ``drifts``: ``role, period, top``."""
+    return drifts.where("top is not null").groupBy("role", "top").agg(F.min("period").alias("first"), F.max("period").alias("last"), F.count(F.lit(1)).alias("periods"))

@@ -43,14 +43,66 @@ def ranked_candidates(datasets: DataFrame, records: DataFrame, k: int = 5) -> Da
 
     ``datasets``: ``dataset_id, platform, strategy, environment``. ``records``: ``rec_id, tier`` and arrays ``platforms,
     strategies, environments``, where an empty array or ``ANY`` takes all. The environment ranks and never excludes.
-    Axes meet in one equi-join: a record has a row for each cell it names, a dataset one for each way to match.
+    Axes meet in one equi-join of cells. A cell keeps its ``k`` best records, and its ``k`` best of each environment, so
+    a dataset meets a few records however many the catalog has; no other record of the cell can be among its ``k`` best.
     """
     wild = lambda c: F.when((F.coalesce(F.size(c), F.lit(0)) <= 0) | F.array_contains(c, "ANY"), F.array(F.lit("ANY"))).otherwise(F.array_distinct(c))
-    cells = records.select("rec_id", "tier", "environments", F.explode(wild("platforms")).alias("p"), wild("strategies").alias("s")).withColumn("s", F.explode("s"))
+    tier = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, TIERS)), F.col("tier")), F.lit(0)), F.lit(len(TIERS) + 1))
+    cells = records.select("rec_id", tier.alias("tier_rank"), "environments", F.explode(wild("platforms")).alias("p"), wild("strategies").alias("s")).withColumn("s", F.explode("s"))
+    own = F.array_distinct(F.array_compact(F.coalesce("environments", F.array().cast("array<string>"))))
+    cells = cells.withColumn("e", F.explode(F.concat(F.array(F.lit("any")), F.transform(own, lambda x: F.concat(F.lit("="), x)))))
+    best = W.partitionBy("p", "s", "e").orderBy("tier_rank", "rec_id")
+    cells = cells.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).drop("place")
     keys = datasets.select("*", F.explode(F.array_distinct(F.array(F.coalesce("platform", F.lit("ANY")), F.lit("ANY")))).alias("p"))
     keys = keys.withColumn("s", F.explode(F.array_distinct(F.array(F.coalesce("strategy", F.lit("ANY")), F.lit("ANY")))))
-    met = keys.join(cells, ["p", "s"])
-    tier = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, TIERS)), F.col("tier")), F.lit(0)), F.lit(len(TIERS) + 1))
-    scored = met.select("dataset_id", "rec_id", tier.alias("tier_rank"), ((F.col("p") != "ANY").cast("int") + (F.col("s") != "ANY").cast("int")).alias("axes"), F.coalesce(F.array_contains("environments", F.col("environment")), F.lit(False)).alias("same_environment"))
+    keys = keys.withColumn("e", F.explode(F.array_compact(F.array(F.lit("any"), F.concat(F.lit("="), F.col("environment"))))))
+    met = keys.join(cells, ["p", "s", "e"])
+    scored = met.select("dataset_id", "rec_id", "tier_rank", ((F.col("p") != "ANY").cast("int") + (F.col("s") != "ANY").cast("int")).alias("axes"), F.coalesce(F.array_contains("environments", F.col("environment")), F.lit(False)).alias("same_environment")).distinct()
     order = W.partitionBy("dataset_id").orderBy("tier_rank", F.col("axes").desc(), F.col("same_environment").desc(), "rec_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+#: Files that start a workflow engine, most telling first, and files that fix an environment (fixed values).
+ENGINES = (("nextflow", r"(^|/)main\.nf$"), ("snakemake", r"(^|/)Snakefile$"), ("cwl", r"\.cwl$"), ("wdl", r"\.wdl$"), ("rmarkdown", r"\.Rmd$"), ("shell", r"\.sh$"))
+ENVIRONMENTS = ("environment.yml", "Dockerfile", "renv.lock", "requirements.txt", "modules.json")
+
+
+def repository_kinds(files: DataFrame) -> DataFrame:
+    """``repo, engine, environments``: from the paths of each repository. ``files``: ``repo, path``.
+
+    The engine is that of the most telling entry file, null without one; environments are the known files there, sorted.
+    """
+    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    rank = F.coalesce(*[F.when(F.col("path").rlike(p), F.lit(i)) for i, (_, p) in enumerate(ENGINES)])
+    per = files.groupBy("repo").agg(F.min(rank).alias("rank"), F.array_sort(F.collect_set(F.when(name.isin(*ENVIRONMENTS), name))).alias("environments"))  # five names at most
+    return per.select("repo", F.try_element_at(F.array(*[F.lit(e) for e, _ in ENGINES]), F.col("rank") + 1).alias("engine"), "environments")
+
+
+def scorecard(files: DataFrame, records: DataFrame) -> DataFrame:
+    """Facts about each record's repository, one column each; no sum of them is stored. ``records``: ``rec_id, repo``."""
+    path = F.lower("path")
+    facts = {"has_readme": path.rlike(r"(^|/)readme(\.|$)"), "has_license": path.rlike(r"(^|/)licen[cs]e(\.|$)"), "has_tests": path.rlike(r"(^|/)tests?/"), "has_ci": path.rlike(r"^\.github/workflows/|(^|/)\.gitlab-ci\.yml$")}
+    told = files.groupBy("repo").agg(F.count(F.lit(1)).alias("files"), *[F.bool_or(v).alias(k) for k, v in facts.items()])
+    kinds = repository_kinds(files).select("repo", "engine", (F.size("environments") > 0).alias("has_environment"))
+    return records.select("rec_id", "repo").join(told, "repo", "left").join(kinds, "repo", "left")
+
+
+def unspecified_databases(steps: DataFrame, databases: DataFrame) -> DataFrame:
+    """``rec_id, role``: roles of a record that need a database, where no step of either chain names a release of one.
+
+    ``steps``: ``rec_id, role, database``. ``databases``: ``roles`` of each; a release is any number in the text.
+    """
+    needy = databases.select(F.explode("roles").alias("role")).distinct()
+    stated = F.coalesce(F.col("database").rlike(r"\d"), F.lit(False))
+    return steps.join(needy, "role", "left_semi").groupBy("rec_id", "role").agg(F.bool_or(stated).alias("stated")).where("not stated").select("rec_id", "role")
+
+
+def spot_checks(judged: DataFrame, per_cent: int = 5, seed: int = 0) -> DataFrame:
+    """The fixed share of records that people look at, chosen by a hash of the id: the same ones in every run."""
+    return judged.where(F.pmod(F.xxhash64("rec_id", F.lit(seed)), F.lit(100)) < per_cent)
+
+
+def agreement(checked: DataFrame) -> DataFrame:
+    """Per batch: how many records were looked at, and the share on which person and judge agree."""
+    agree = (F.col("human_tier") == F.col("judged_tier")).cast("double")
+    return checked.groupBy("batch").agg(F.count(agree).alias("checked"), F.avg(agree).alias("agreement"))

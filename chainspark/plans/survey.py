@@ -8,37 +8,50 @@ from pyspark.sql import functions as F
 from .. import ontology
 from ..functions.text import clean, period
 from ..operators import corpus, survey
-from ..operators.match import matches, alias_index, with_matches
+from ..operators.match import alias_index, counted, matches, with_matches
 
 #: Surface forms of names as papers write them.
 NAMES = ["DADA2", "dada2 pipeline", "Kraken 2", "kraken2 classifier", "BWA mem", "MEGAHIT3", "MetaBAT 2", "CheckM2", "FastQC", "SILVA 138", "GTDB", "own script", "wfmash", "Picard"]
 
 
-def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("paper"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"))
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps without what their papers say about them."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
     pick = lambda values, at: F.element_at(F.array(*map(F.lit, values)), (at + 1).cast("int"))
-    rows = lines.select(
+    return rows.select(
         F.col("l_orderkey").alias("paper"), (F.col("l_linenumber") * 10000000 + F.col("l_partkey")).alias("step_pos"), pick([r[1] for r in ontology.role_rows()], F.col("l_partkey") % 48).alias("role"),
         pick(NAMES, (F.col("l_suppkey") * 7 + F.col("l_partkey")) % len(NAMES)).alias("tool_raw"), F.when(F.col("l_quantity") >= 15, F.concat(F.lit("1."), F.col("l_linenumber").cast("string"))).alias("version"),
     )
-    return rows.join(orders, "paper").withColumn("tool", F.nullif(clean(F.col("tool_raw")), F.lit("")))
 
 
-def matched_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_matches(steps(spark, sf_dir), ontology.tools(spark), ontology.databases(spark))
+def named(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("tool", F.nullif(clean(F.col("tool_raw")), F.lit("")))
+
+
+def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("paper"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"))
+    return named(lines(spark, sf_dir).join(orders, "paper"))
+
+
+def matched_counts(spark: SparkSession, rows: DataFrame, *by: str) -> DataFrame:
+    """Names are matched after counting: the steps of a frequent name never meet in one task."""
+    return with_matches(named(counted(rows, *by)), ontology.tools(spark), ontology.databases(spark))
+
+
+def period_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matched_counts(spark, steps(spark, sf_dir).withColumn("period", period(F.col("date"))), "role", "period")
 
 
 def role_consensus(spark, sf_dir):
-    return survey.consensus(matched_steps(spark, sf_dir), ontology.roles(spark))
+    return survey.consensus(matched_counts(spark, lines(spark, sf_dir), "role"), ontology.roles(spark))
 
 
 def tool_drift(spark, sf_dir):
-    return survey.drift(matched_steps(spark, sf_dir))
+    return survey.drift(period_counts(spark, sf_dir))
 
 
 def powered_roles(spark, sf_dir):
-    return survey.powered(survey.drift(matched_steps(spark, sf_dir)))
+    return survey.powered(survey.drift(period_counts(spark, sf_dir)))
 
 
 def version_reporting(spark, sf_dir):
@@ -46,15 +59,17 @@ def version_reporting(spark, sf_dir):
 
 
 def unmatched_names(spark, sf_dir):
-    return survey.unmatched(matched_steps(spark, sf_dir))
+    return survey.unmatched(matched_counts(spark, lines(spark, sf_dir)))
 
 
 def corpus_summary(spark, sf_dir):
-    return survey.summary(matched_steps(spark, sf_dir))
+    rows = lines(spark, sf_dir)
+    papers = rows.agg(F.countDistinct("paper").alias("papers"))  # one row
+    return survey.summary(matched_counts(spark, rows, "role")).crossJoin(F.broadcast(papers))
 
 
 def name_matches(spark, sf_dir):
-    return matches(steps(spark, sf_dir), alias_index(ontology.tools(spark))).select("tool_raw", "matched", "hit_rank")
+    return matches(lines(spark, sf_dir), alias_index(ontology.tools(spark))).select("tool_raw", "matched", "hit_rank")
 
 
 def role_precedence(spark, sf_dir):
