@@ -269,6 +269,8 @@ def test_toxicity(spark):
     score = {r.doc_id: r.score for r in toxicity.narrow_scores(docs, model).collect()}
     held = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 3 == 1]
     assert np.mean([(score[i] >= 0.7) == (i % 4 == 0) for i in held]) > 0.95 and 0 <= score[9001] <= 1
+    whole = toxicity.score_documents(docs, model, "score")
+    assert whole.columns == ["doc_id", "text", "score"] and {r.doc_id: r.score for r in whole.collect()} == score
     none = toxicity.fit(docs.limit(0), table.limit(0))
     assert toxicity.ordinary_documents(docs, none).count() == docs.count()
 
