@@ -27,5 +27,46 @@ WITH v AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+""",
+    "op2_suffixes": """
+WITH t AS (
+  SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents
+), k AS (
+  SELECT r, p, count(*) OVER (PARTITION BY h) > 1 AS again
+  FROM (SELECT r, p, md5(b[p:p + 399]) AS h FROM (SELECT r, b, unnest(range(1, octet_length(b) - 398)) AS p FROM t))
+), c AS (
+  SELECT r, p, coalesce(p - lag(p) OVER (PARTITION BY r ORDER BY p), 401) AS gap FROM k WHERE again
+), e AS (
+  SELECT r, min(p) AS first, max(p) + 399 AS last
+  FROM (SELECT r, p, sum(CAST(gap > 400 AS INT)) OVER (PARTITION BY r ORDER BY p) AS span FROM c) GROUP BY r, span
+), l AS (
+  SELECT r, first, last, coalesce(lag(last) OVER w, 0) AS before, lead(first) OVER w IS NULL AS final FROM e WINDOW w AS (PARTITION BY r ORDER BY first)
+), g AS (
+  SELECT r, CAST(sum(last - first + 1) AS BIGINT) AS n_removed, count(*) AS n_spans,
+    string_agg(hex(b[before + 1:first - 1]) || CASE WHEN final THEN hex(b[last + 1:octet_length(b)]) ELSE '' END, '' ORDER BY first) AS kept
+  FROM l JOIN t USING (r) GROUP BY r
+)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(CASE WHEN kept IS NULL THEN b ELSE unhex(kept) END) AS kept_sha256
+FROM t LEFT JOIN g USING (r)
+""",
+    "op5_substrings": r"""
+WITH t AS (
+  SELECT doc_id, coalesce(doc_id, -9223372036854775808) AS did, md5(coalesce(text, '')) AS same,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), d AS (
+  SELECT DISTINCT did, same, w FROM t
+), s AS (
+  SELECT did, same, unnest(range(1, len(w) - 18)) AS p, w FROM d
+), k AS (
+  SELECT did, same, p, array_to_string(w[p:p + 19], ' ') AS g FROM s
+), f AS (
+  SELECT did, same, p, (did, p) > first_value((did, p)) OVER (PARTITION BY g ORDER BY did, p) AS late FROM k
+), c AS (
+  SELECT did, same, list_distinct(flatten(list(range(p, p + 20)))) AS gone FROM f WHERE late GROUP BY did, same
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+  sha256(array_to_string(list_filter(w, lambda x, i: NOT list_contains(coalesce(gone, []), i)), ' ')) AS kept_sha256
+FROM t LEFT JOIN c USING (did, same)
 """,
 }
