@@ -16,11 +16,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, hash64, key_of, mix, raw_bytes, slices, split_words, word_codes
+from .common import cut, hash64, key_of, mix, raw_bytes, slices, split_words, stored, word_codes
 
+FLOOR, HOT = 1_000, 256  # keys of more rows than this, the most frequent ones, are dealt over several tasks
 PIECE = 1 << 20  # units worked on at once; positions fit in 20 bits
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 SPACE = np.zeros(256, bool)
@@ -93,6 +93,8 @@ class Units:
         """Unit values of all texts, offsets of the texts in units, and where each unit begins and ends in bytes."""
         texts = pc.fill_null(texts, b"" if pa.types.is_binary(texts.type) else "")
         raw, at = raw_bytes(texts)
+        if self.words and pa.types.is_binary(texts.type):
+            texts = texts.cast(pa.string(), safe=False)
         if not self.words:
             here = np.arange(len(raw)) - np.repeat(at[:-1], np.diff(at))
             return raw.astype(np.uint64) + np.uint64(1), at, here, here + 1
@@ -111,7 +113,8 @@ class Units:
         begin, count, anchor, seg = runs_of(values, ends, self.window, self.gram)
         row = np.searchsorted(offsets, begin, "right") - 1
         b = first[begin]
-        columns = [anchor, seg, part.column("did").to_numpy()[row], part.column("rid").to_numpy()[row], begin - offsets[row], count, b, last[begin + count + self.window - 2] - b]
+        base = part.column("base").to_numpy()[row] if "base" in part.schema.names else 0
+        columns = [anchor, seg, part.column("did").to_numpy()[row], part.column("rid").to_numpy()[row], begin - offsets[row] + base, count, b, last[begin + count + self.window - 2] - b]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, RUNS)], schema=RUNS)
 
 
@@ -132,13 +135,32 @@ def identified(docs: DataFrame) -> DataFrame:
     return docs.select(did.alias("did"), key_of(F.col("doc_id"), F.col("text")).alias("rid"), F.col("text").cast("string").alias("text"))
 
 
+def most_frequent(counts: DataFrame, key: str, times: str) -> list[int]:
+    """The keys of more than ``FLOOR`` rows, ``HOT`` of them at most: any other key holds less than one row in ``HOT``."""
+    top = counts.where(F.col(times) > FLOOR).orderBy(F.desc(times), key).limit(HOT)
+    return [row[0] for row in top.select(key).collect()]
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, keys: list[str], hot: list[int], by: list[str]) -> DataFrame:
+    """Inner join of many rows with one fact per key. Rows whose first key is ``hot`` are dealt by ``by`` over as many parts as
+    a shuffle has, and the facts of these keys are repeated for each part; so no key needs one task for all its rows."""
+    if not hot:
+        return rows.join(facts, keys)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    of_hot, zero = F.col(keys[0]).isin(hot), F.lit(0).cast("bigint")
+    rows = rows.withColumn("salt", F.when(of_hot, F.pmod(F.xxhash64(*by), F.lit(parts))).otherwise(zero))
+    every = F.sequence(zero, F.lit(parts - 1).cast("bigint"))
+    facts = facts.withColumn("salt", F.explode(F.when(of_hot, every).otherwise(F.array(zero))))
+    return rows.join(facts, [*keys, "salt"]).drop("salt")
+
+
 def covered(docs: DataFrame, units: Units, first_stays: bool, solve: Callable, largest: int, keep_runs: bool) -> DataFrame:
     """``did, rid, cover``: for each row with repeated windows, arrays of covered runs of units [start, end).
 
     ``docs`` comes from ``identified``. ``first_stays``: the first of equal windows, by (did, start), is not covered.
     ``solve`` gets the strings of anchors with up to ``largest`` different strings, grouped by anchor, and gives
-    ``anchor, seg, begins, ends``; strings of larger groups go window by window through an ordinary count instead,
-    so that no group has to fit into a task. ``keep_runs`` writes all runs once instead of finding them twice.
+    ``anchor, seg, begins, ends``. Strings of larger groups are cut again by minimisers of longer grams (``finer``), so that
+    no group has to fit into a task. ``keep_runs`` writes all runs once instead of finding them twice.
     """
 
     def emit(batches):
@@ -151,32 +173,49 @@ def covered(docs: DataFrame, units: Units, first_stays: bool, solve: Callable, l
     if keep_runs:
         runs = cut(runs)
     # Most runs stand alone: they leave before anything but their anchor is counted.
-    repeated = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("anchor")
-    runs = cut(runs.join(repeated, "anchor"))
+    repeated = cut(runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).where("times > 1"))
+    hot = most_frequent(repeated, "anchor", "times")
+    runs = cut(spread_join(runs, repeated.select("anchor"), ["anchor"], hot, ["did", "rid", "start"]))
     place = F.struct("did", "start", "rid", "b", "len", "n")
-    kinds = runs.groupBy("anchor", "seg").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("first"))
-    per = W.partitionBy("anchor")
-    kinds = cut(kinds.select("anchor", "seg", "copies", "first", F.count(F.lit(1)).over(per).alias("strings")))
+    kinds = cut(runs.groupBy("anchor", "seg").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("first")))
+    several = cut(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("strings")).where("strings > 1"))
 
     # The strings of anchors with several of them, cut from the first text that has them.
-    need = kinds.where("strings > 1").select("anchor", "seg", "strings", "first.*")
+    need = spread_join(kinds, several, ["anchor"], hot, ["seg"]).select("anchor", "seg", "strings", "first.*")
     text = F.substring(F.col("text").cast("binary"), F.col("b") + 1, F.col("len"))
     packed = need.join(docs, ["did", "rid"]).select("anchor", "seg", "strings", "did", "start", text.alias("packed"))
     small = packed.where(F.col("strings") <= largest).select("anchor", "seg", "did", "start", "packed")
     solved = small.repartition("anchor").sortWithinPartitions("anchor", "seg").mapInArrow(in_groups(solve), "anchor bigint, seg bigint, begins array<int>, ends array<int>")
-    solved = solved.unionByName(by_window(packed.where(F.col("strings") > largest), units, first_stays))
+    if not several.where(F.col("strings") > largest).isEmpty():
+        large = packed.where(F.col("strings") > largest)
+        solved = solved.unionByName(finer(large, units, first_stays, solve, largest))
 
     whole = (F.array(F.lit(0)), F.array(F.col("first.n") + (units.window - 1)))
     known = kinds.join(solved, ["anchor", "seg"], "left")
-    known = known.select("anchor", "seg", "copies", F.col("first.did").alias("fdid"), F.col("first.start").alias("fstart"), F.coalesce("begins", F.array().cast("array<int>")).alias("begins"), F.coalesce("ends", F.array().cast("array<int>")).alias("ends"), whole[1].alias("all"))
+    known = known.select("seg", "anchor", "copies", F.col("first.did").alias("fdid"), F.col("first.start").alias("fstart"), F.coalesce("begins", F.array().cast("array<int>")).alias("begins"), F.coalesce("ends", F.array().cast("array<int>")).alias("ends"), whole[1].alias("all"))
     again = (F.col("did") != F.col("fdid")) | (F.col("start") != F.col("fstart")) if first_stays else F.col("copies") > 1
-    hits = runs.select("anchor", "seg", "did", "rid", "start").join(known, ["anchor", "seg"])
+    copied = most_frequent(kinds, "seg", "copies")
+    hits = spread_join(runs.select("anchor", "seg", "did", "rid", "start"), known, ["seg", "anchor"], copied, ["did", "rid", "start"])
     begins, ends = F.when(again, whole[0]).otherwise(F.col("begins")), F.when(again, F.col("all")).otherwise(F.col("ends"))
     shifted = lambda x: F.transform(x, lambda v: v + F.col("start"))
     hits = hits.select("did", "rid", F.arrays_zip(shifted(begins).alias("s"), shifted(ends).alias("e")).alias("spans")).where(F.size("spans") > 0)
     return hits.groupBy("did", "rid").agg(F.flatten(F.collect_list("spans")).alias("cover"))
 
 
+def finer(packed: DataFrame, units: Units, first_stays: bool, solve: Callable, largest: int) -> DataFrame:
+    """The same answer for groups of any size. Their strings are texts of their own: they are cut by grams that are longer by a
+    third of the window, whose minimisers tell apart what has only a common passage in it, and solved like other texts.
+    Where a gram can't grow any more, windows are counted one by one (``by_window``)."""
+    longer = units.gram + max(units.window // 3, 1)
+    if longer >= units.window:
+        return by_window(packed, units, first_stays)
+    texts = packed.dropDuplicates(["anchor", "seg"]).select("anchor", "seg", "did", F.xxhash64("anchor", "seg").alias("rid"), F.col("start").alias("base"), F.col("packed").alias("text"))
+    texts = stored(texts)
+    found = covered(texts.select("did", "rid", "base", "text"), Units(units.words, units.window, longer), first_stays, solve, largest, keep_runs=False)
+    at = lambda end: F.transform("cover", lambda x: x[end] - F.col("base"))
+    return texts.drop("text").join(found, ["did", "rid"]).select("anchor", "seg", at("s").alias("begins"), at("e").alias("ends"))
+
+
 def in_groups(solve: Callable, limit: int = 1 << 19):
     """Feed ``solve`` with tables of whole groups of one anchor, about ``limit`` bytes at a time."""
 
@@ -209,7 +248,7 @@ def in_groups(solve: Callable, limit: int = 1 << 19):
 
 
 def by_window(packed: DataFrame, units: Units, first_stays: bool) -> DataFrame:
-    """The same answer for groups of any size: every window as a row with a 128-bit hash, counted by Spark."""
+    """Every window as a row with a 128-bit hash, counted by Spark: for groups that no minimiser takes apart."""
 
     def emit(batches):
         names = ["anchor", "seg", "did", "at", "off", "h1", "h2"]

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from chainspark.llm import ann, bpe, brown, components, minhash, mixing, sharding, suffixes, topk, toxicity, wordrepeats
+from chainspark.llm import ann, bpe, brown, components, minhash, mixing, sharding, suffixes, superkmers, topk, toxicity, wordrepeats
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, root string, rank string"
 
@@ -79,6 +79,22 @@ def test_bytes_removed_match_brute_force(docs, empty, rows):
     assert suffixes.repeated_bytes(empty).count() == 0
 
 
+def test_hot_minimisers_are_dealt_and_cut_again(spark, monkeypatch):
+    """A passage that most texts hold, with different words around it, in copies too: the same answer in whatever way it is found."""
+    rng = np.random.default_rng(8)
+    word = lambda n: " ".join(f"v{x}" for x in rng.integers(0, 500, n))
+    common = word(30)
+    texts = [f"{word(25)} {common} {word(25)}" for _ in range(30)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts[:5] * 4)], "doc_id bigint, text string")
+    for repeats in (suffixes.repeated_bytes, wordrepeats.repeated_words):
+        monkeypatch.setattr(superkmers, "FLOOR", 1_000)
+        plain = total(repeats(docs, window=20, gram=6))
+        assert len(plain) >= 49
+        monkeypatch.setattr(superkmers, "FLOOR", 1)
+        for largest in (20_000, 3):
+            assert total(repeats(docs, window=20, gram=6, largest=largest)) == plain
+
+
 def test_maximal_repeats():
     text = np.frombuffer(b"banana", np.uint8).astype(np.int64)
     starts = np.arange(6)
