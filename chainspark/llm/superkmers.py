@@ -183,7 +183,7 @@ def covered(docs: DataFrame, units: Units, first_stays: bool, solve: Callable, l
     # The strings of anchors with several of them, cut from the first text that has them.
     need = spread_join(kinds, several, ["anchor"], hot, ["seg"]).select("anchor", "seg", "strings", "first.*")
     text = F.substring(F.col("text").cast("binary"), F.col("b") + 1, F.col("len"))
-    packed = need.join(docs, ["did", "rid"]).select("anchor", "seg", "strings", "did", "start", text.alias("packed"))
+    packed = stored(need.join(docs, ["did", "rid"]).select("anchor", "seg", "strings", "did", "start", text.alias("packed")))
     small = packed.where(F.col("strings") <= largest).select("anchor", "seg", "did", "start", "packed")
     solved = small.repartition("anchor").sortWithinPartitions("anchor", "seg").mapInArrow(in_groups(solve), "anchor bigint, seg bigint, begins array<int>, ends array<int>")
     if not several.where(F.col("strings") > largest).isEmpty():
