@@ -172,12 +172,13 @@ def covered(docs: DataFrame, units: Units, first_stays: bool, solve: Callable, l
     runs = docs.mapInArrow(emit, schema)
     if keep_runs:
         runs = cut(runs)
+    write = cut if keep_runs else stored  # runs of words are many: compressed, they take less of the disk
     # Most runs stand alone: they leave before anything but their anchor is counted.
     repeated = cut(runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).where("times > 1"))
     hot = most_frequent(repeated, "anchor", "times")
-    runs = cut(spread_join(runs, repeated.select("anchor"), ["anchor"], hot, ["did", "rid", "start"]))
+    runs = write(spread_join(runs, repeated.select("anchor"), ["anchor"], hot, ["did", "rid", "start"]))
     place = F.struct("did", "start", "rid", "b", "len", "n")
-    kinds = cut(runs.groupBy("anchor", "seg").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("first")))
+    kinds = write(runs.groupBy("anchor", "seg").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("first")))
     several = cut(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("strings")).where("strings > 1"))
 
     # The strings of anchors with several of them, cut from the first text that has them.
