@@ -5,6 +5,7 @@ from __future__ import annotations
 from .ann import op3_ann
 from .bpe import op7_bpe
 from .brown import op9_brown
+from .infill import op11_infill
 from .minhash import op4_minhash
 from .mixing import op8_mixing
 from .sharding import op10_sharding
@@ -13,7 +14,7 @@ from .topk import op6_topk
 from .toxicity import op1_toxicity
 from .wordrepeats import op5_substrings
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_suffixes, op3_ann, op4_minhash, op5_substrings, op6_topk, op7_bpe, op8_mixing, op9_brown, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_suffixes, op3_ann, op4_minhash, op5_substrings, op6_topk, op7_bpe, op8_mixing, op9_brown, op10_sharding, op11_infill)}
 
 SQL = {
     "op6_topk": """
@@ -68,5 +69,21 @@ WITH t AS (
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
   sha256(array_to_string(list_filter(w, lambda x, i: NOT list_contains(coalesce(gone, []), i)), ' ')) AS kept_sha256
 FROM t LEFT JOIN c USING (did, same)
+""",
+    "op11_infill": r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), u AS (
+  SELECT doc_id, t, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS u, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+    CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM t
+), c AS (
+  SELECT *, CAST(len(u) AS BIGINT) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b FROM u
+), p AS (
+  SELECT *, array_to_string(u[1:a], '') AS pre, array_to_string(u[a + 1:b], '') AS mid, array_to_string(u[b + 1:n], '') AS suf,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM c
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(pre || mid || suf) AS restored_sha256 FROM p
 """,
 }
