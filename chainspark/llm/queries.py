@@ -9,13 +9,14 @@ from .infill import op11_infill
 from .minhash import op4_minhash
 from .mixing import op8_mixing
 from .periodic import op12_periods
+from .pivots import op13_pivots
 from .sharding import op10_sharding
 from .suffixes import op2_suffixes
 from .topk import op6_topk
 from .toxicity import op1_toxicity
 from .wordrepeats import op5_substrings
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_suffixes, op3_ann, op4_minhash, op5_substrings, op6_topk, op7_bpe, op8_mixing, op9_brown, op10_sharding, op11_infill, op12_periods)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_suffixes, op3_ann, op4_minhash, op5_substrings, op6_topk, op7_bpe, op8_mixing, op9_brown, op10_sharding, op11_infill, op12_periods, op13_pivots)}
 
 SQL = {
     "op6_topk": """
