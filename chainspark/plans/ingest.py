@@ -13,7 +13,7 @@ from ..functions import text
 from ..operators import corpus, extract
 
 #: Names as papers write them, with versions in every form.
-RAW_NAMES = ["DADA2 v1.20", "SPAdes (v3.15.5)", "QIIME2 2021.4", "GTDB-Tk version 2.1.1", "Kraken 2", "Kraken version 2", "MetaBAT2", "Tool ver 3.4", "3.15.5", "  vsearch  ", "", "own script v3"]
+RAW_NAMES = ["Fennel v0.9-rc1", "Larkspur ( 7.22 )", "halyard3 ver.6.0.3b", "Pinna_X  version 11.4", "Ocelot 12", "Wren version 14", "DADA2", "kraken V8", "0.44.1", "  sorrel  ", "", "lab code v2024"]
 #: Headings, some of which open a methods section.
 HEADINGS = ["Methods", "2. Materials and  Methods", "STAR+ Methods", "Material and Methods", "Results", "2.1 Methods", " Methodology ", "Experimental procedures", "Methods of old"]
 
