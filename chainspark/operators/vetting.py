@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-TIERS = ["reference", "usable", "partial", "paper_only"]
+#: Best first (fixed values).
+TIERS = ["reference", "usable", "documented", "paper_only", "rejected"]
 
 
 def divergences(steps: DataFrame) -> DataFrame:

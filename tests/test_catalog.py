@@ -54,9 +54,9 @@ def test_divergences_only_with_observed(spark):
 
 
 def test_tiers(spark):
-    rows = [("usable", 0, None, None), (None, 0, "usable", None), (None, 1, None, "partial")]
+    rows = [("usable", 0, None, None), (None, 0, "usable", None), (None, 1, None, "documented")]
     got = vetting.final_tier(spark.createDataFrame(rows, "tier_override string, code int, adjudicated_tier string, scorecard_tier string"))
-    assert [r.final_tier for r in got.collect()] == ["usable", "paper_only", "partial"]
+    assert [r.final_tier for r in got.collect()] == ["usable", "paper_only", "documented"]
 
 
 def test_role_scores_and_failures(spark):
