@@ -200,7 +200,8 @@ def covered(docs: DataFrame, units: Units, first_stays: bool, solve: Callable, l
     begins, ends = F.when(again, whole[0]).otherwise(F.col("begins")), F.when(again, F.col("all")).otherwise(F.col("ends"))
     shifted = lambda x: F.transform(x, lambda v: v + F.col("start"))
     hits = hits.select("did", "rid", F.arrays_zip(shifted(begins).alias("s"), shifted(ends).alias("e")).alias("spans")).where(F.size("spans") > 0)
-    return hits.groupBy("did", "rid").agg(F.flatten(F.collect_list("spans")).alias("cover"))
+    # Equal rows have equal spans: a set keeps one of them, before the shuffle as well as after it.
+    return hits.groupBy("did", "rid").agg(F.flatten(F.collect_set("spans")).alias("cover"))
 
 
 def finer(packed: DataFrame, units: Units, first_stays: bool, solve: Callable, largest: int) -> DataFrame:
@@ -218,11 +219,13 @@ def finer(packed: DataFrame, units: Units, first_stays: bool, solve: Callable, l
 
 
 def in_groups(solve: Callable, limit: int = 1 << 19):
-    """Feed ``solve`` with tables of whole groups of one anchor, about ``limit`` bytes at a time."""
+    """Feed ``solve`` with tables of whole groups of one anchor, about ``limit`` bytes at a time. Of several rows with one
+    string, which come one after another, it gets the first: equal documents give as many."""
 
     def run(batches):
         held: list[pa.RecordBatch] = []
         size = 0
+        last = None
 
         def flush(table: pa.Table):
             if table.num_rows:
@@ -232,6 +235,11 @@ def in_groups(solve: Callable, limit: int = 1 << 19):
             if not batch.num_rows:
                 continue
             for part in slices(batch, "packed", limit):
+                key = np.stack([part.column("anchor").to_numpy(), part.column("seg").to_numpy()], 1)
+                new = np.append([last is None or (key[0] != last).any()], (key[1:] != key[:-1]).any(1))
+                last = key[-1]
+                if not new.all():
+                    part = part.filter(pa.array(new))
                 held.append(part)
                 size += part.column("packed").nbytes
                 if size >= limit:
