@@ -1,11 +1,11 @@
 """Language-model scores by Brown classes: class transitions times word emissions.
 
-Exchange clustering assigns the SEEDS most frequent words to classes that make their bigrams likely; every other
-word joins the class that fits best to all its neighbours that are seeds, over all training texts. Texts are then
+Exchange clustering assigns the most frequent words (``seeds_of`` says how many) to classes that make their bigrams
+likely; every other word joins the class that fits best to all its neighbours that are seeds, over all training texts. Texts are then
 written as sequences of final classes, a byte a token; transitions are counted and texts are scored on these. A text's
 probability is the product, over its words and its end, of the probability of the word's class after the class before
 and of the word in its class. Counts of all words of all training texts stay in tables; what the driver sees is bounded
-by SEEDS and CLASSES.
+by MOST_SEEDS and CLASSES.
 """
 
 from __future__ import annotations
@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 
 from .common import SLICE_BYTES, cut, hash64, key_of, look_up, raw_bytes, read, remainder, slices, split_words, stored, sums, word_codes
 
-SEEDS, CLASSES, SWEEPS = 1024, 48, 6
-#: A word is a candidate seed where it makes up this share of a slice of text.
-SEED_SHARE = 2e-5
+#: Words that are exchanged: the root of the number of tokens by SEED_ROOT, within these bounds. The driver holds their bigrams.
+SEEDS, MOST_SEEDS, SEED_ROOT = 1024, 2048, 8
+CLASSES, SWEEPS = 48, 6
 #: Words that make up this share of all tokens (so at most 1 / HEAD_SHARE words) are sent to every worker; the counts
 #: of all others are joined to their texts.
 HEAD_SHARE = 4e-6
@@ -51,13 +51,22 @@ def before(codes: np.ndarray, offsets: np.ndarray, start: int) -> np.ndarray:
     return out
 
 
-def seed_candidates(batches):
+def word_counts(batches):
+    """``h, n`` of every word of each slice of text."""
     for batch in batches:
         for part in slices(batch, "text", 2 * SLICE_BYTES):
             codes, hashed, _ = tokens(part.column("text"))
             n = np.bincount(codes, minlength=len(hashed))
-            often = np.flatnonzero(n > SEED_SHARE * len(codes))
-            yield pa.RecordBatch.from_arrays([pa.array(hashed[often]), pa.array(n[often])], names=["h", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(hashed), pa.array(n)], names=["h", "n"])
+
+
+def seeds_of(train: DataFrame) -> np.ndarray:
+    """The most frequent words of all training texts, every one of them counted, and the end. Ties go to the smaller hash."""
+    counts = cut(train.mapInArrow(word_counts, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    size = min(MOST_SEEDS, max(SEEDS, int(total**0.5) // SEED_ROOT))
+    seeds = counts.orderBy(F.col("n").desc(), "h").limit(size).toPandas().h.to_numpy(np.int64)
+    return np.unique(np.append(seeds, END))
 
 
 def seed_bigrams(seeds: np.ndarray):
@@ -244,9 +253,7 @@ def classed_words(train: DataFrame) -> tuple[Model, DataFrame]:
 
     Null and empty texts are one end each. An empty table gives a model in which every word is unknown.
     """
-    found = train.mapInArrow(seed_candidates, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
-    seeds = found.orderBy(F.col("n").desc(), "h").limit(SEEDS).toPandas().h.to_numpy(np.int64)
-    seeds = np.unique(np.append(seeds, END))
+    seeds = seeds_of(train)
     pairs = train.mapInArrow(seed_bigrams(seeds), "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
     a, b, n = pairs.pair.to_numpy(np.int64) // len(seeds), pairs.pair.to_numpy(np.int64) % len(seeds), pairs.n.to_numpy(float)
     cls = exchange(a, b, n, len(seeds), CLASSES)

@@ -129,9 +129,12 @@ def look_up(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Sum of the values of each text; 0 for texts without values."""
-    total = np.concatenate([np.zeros(1, np.float64), np.cumsum(values, dtype=np.float64)])
-    return total[offsets[1:]] - total[offsets[:-1]]
+    """Sum of the values of each text, whatever stands before and after it; 0 for texts without values."""
+    out = np.zeros(len(offsets) - 1)
+    some = np.flatnonzero(np.diff(offsets))
+    if len(some):
+        out[some] = np.add.reduceat(values.astype(np.float64), offsets[:-1][some])
+    return out
 
 
 def raw_bytes(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:

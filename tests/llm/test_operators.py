@@ -312,3 +312,41 @@ def test_part_masses_bound_what_texts_share():
         for j in range(4):
             shared = sum(min(w, held[j].get(k, 0)) for k, w in held[i].items())
             assert np.minimum(parts[i] * mass[i], parts[j] * mass[j]).sum() / minhash.UNIT >= shared - 1e-3
+
+
+def test_equal_rows_are_worked_on_once(spark):
+    """2,000 rows of one id and text, and null ids with a common text: whole results, without pairs of equal rows."""
+    rng = np.random.default_rng(9)
+    text = " ".join(f"v{x}" for x in rng.integers(0, 300, 130))
+    other = " ".join(f"v{x}" for x in rng.integers(0, 300, 40))
+    rows = [(7, text, "en", "a", 0, "r", "k")] * 2000 + [(None, f"{other} {text}", "en", "a", 0, "r", "k")] * 500 + [(8, text[:500], "en", "a", 0, "r", "k"), (9, other, "en", "a", 0, "r", "k")]
+    table = spark.createDataFrame(rows, SCHEMA).repartition(7)
+    kept = {(r.doc_id, r.text) for r in wordrepeats.without_repeats(table).select("doc_id", "text").collect()}
+    assert kept == {(None, f"{other} {text}"), (7, ""), (8, text[:500].split()[-1] if not text[500:501].isspace() and text[499:500] != " " else ""), (9, "")}
+    cover = suffixes.repeated_bytes(table)
+    n = {r.did: max(s.e for s in r.cover) for r in cover.collect()}
+    assert n == {7: len(text), -(1 << 63): len(other) + 1 + len(text), 8: 500}
+
+
+def test_brown_scores_do_not_depend_on_partitions(spark):
+    """All words are counted before seeds are chosen: slices and files change nothing but the last digits."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").repartition(1)
+    train = lambda d: d.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 1)
+    seen = []
+    for parts in (1, 2, 13):
+        table = docs.repartition(parts, "doc_id") if parts > 1 else docs
+        model, words = brown.fit(train(table))
+        seen.append({r.doc_id: r for r in brown.score_texts(table, model, words).collect()})
+    first = seen[0]
+    for more in seen[1:]:
+        assert all(abs(first[k].score - r.score) < 1e-9 * max(1, abs(r.score)) and first[k].n_known == r.n_known for k, r in more.items())
+    counts = Counter()
+    texts = {r.doc_id: (r.text or "") for r in docs.collect()}
+    tokens = {k: [bytes(w).lower() for w in t.encode().split()] + [None] for k, t in texts.items()}
+    for k, t in tokens.items():
+        if zlib.crc32(str(k).encode()) % 5 != 1:
+            counts.update(t)
+    total, kinds = sum(counts.values()), len(counts)
+    for k, t in tokens.items():
+        base = sum(np.log10((counts[w] + 0.5) / (total + 0.5 * (kinds + 1))) for w in t)
+        assert (first[k].n_tokens, first[k].n_known) == (len(t), sum(counts[w] > 0 for w in t)) and abs(first[k].base_score - base) < 1e-9 * max(1, abs(base))
