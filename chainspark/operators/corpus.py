@@ -46,10 +46,27 @@ def papers_of(hits: DataFrame) -> DataFrame:
 
 
 def full_texts(papers: DataFrame, fulltext: DataFrame) -> DataFrame:
-    """``papers`` with ``xml``: by ``pmcid``, else by ``id``; a missing text is null. The wide column is joined once."""
-    idents = papers.select("id", F.explode(F.array(F.struct(F.lit(0).alias("rank"), F.col("pmcid").alias("ident")), F.struct(F.lit(1).alias("rank"), F.col("id").alias("ident")))).alias("x")).select("id", "x.*").where("ident <> ''")
-    there = idents.join(fulltext.select("ident"), "ident", "left_semi").groupBy("id").agg(F.min_by("ident", "rank").alias("ident"))
-    return papers.join(there, "id", "left").join(fulltext, "ident", "left").drop("ident")
+    """``papers`` with ``xml``: by ``pmcid``, else by ``id``; a missing text is null, and so is that of a paper with neither.
+
+    Which identifiers have a text is found on narrow rows; texts meet the papers in one join. Of several texts with an
+    identifier the smallest counts, so papers are never multiplied. Papers without an identifier have a key of their
+    own that nothing else has: they don't meet in one task.
+    """
+    there = fulltext.where("ident <> ''").groupBy("ident").agg(F.min("xml").alias("xml"))
+    known = there.select("ident")
+    own = F.concat(F.lit("\0"), F.xxhash64(*papers.columns).cast("string"))
+    key = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), own)
+    found = papers.withColumns({"by_pmcid": key("pmcid"), "by_id": key("id")})
+    for c in ("by_pmcid", "by_id"):
+        found = found.join(known.select(F.col("ident").alias(c), F.col("ident").alias(f"has_{c}")), c, "left")
+    found = found.select(*papers.columns, F.coalesce("has_by_pmcid", "has_by_id", own).alias("ident"))
+    return found.join(there, "ident", "left").drop("ident")
+
+
+def completeness(xml: Column, abstract: Column, stated: Column) -> Column:
+    """How a chain was read: as stated, or ``abstract_only`` where there is an abstract and no full text."""
+    no_text = F.coalesce(xml, F.lit("")) == ""
+    return F.when(no_text & (F.coalesce(abstract, F.lit("")) != ""), "abstract_only").when(~no_text, stated)
 
 
 def not_done(requests: DataFrame, results: DataFrame, column: str = "request") -> DataFrame:

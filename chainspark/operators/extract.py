@@ -6,6 +6,7 @@ Everything is built-in columns but the walk over nested sections, which only emi
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -84,17 +85,21 @@ def prompts(texts: DataFrame, roles: DataFrame, system: str, user: str, methods:
     return texts.crossJoin(F.broadcast(block)).withColumns({"system": whole, "user": filled}).drop("roles_text")
 
 
-def tolerant_json(text: Column) -> Column:
-    """A variant: the whole text; else the first fenced block; else what parses from the first bracket on; else null."""
+def one_value(pair: Column) -> Column:
+    """The only value of an array, as a variant; null if it holds none or several."""
+    return F.when(F.try_variant_get(pair, "$[1]", "variant").isNull(), F.try_variant_get(pair, "$[0]", "variant"))
 
-    def whole(t: Column) -> Column:
-        pair = F.try_parse_json(F.concat(F.lit("["), t, F.lit("]")))
-        one = F.try_variant_get(pair, "$[0]", "variant")
-        return F.when(one.isNotNull() & F.try_variant_get(pair, "$[1]", "variant").isNull(), one)
 
-    fence = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)
-    first = F.regexp_extract(text, r"(?s)[{\[].*$", 0)
-    return F.coalesce(whole(text), F.when(fence != "", whole(fence)), F.when(first != "", F.try_parse_json(first)))
+def tolerant_json(rows: DataFrame, text: str, out: str = "parsed") -> DataFrame:
+    """``rows`` with the variant ``out``: the whole text; else the first fenced block; else what parses from the first bracket
+    on; else null. Each step is a column of its own, so a text is parsed once where it is plain JSON."""
+    bracketed = lambda c: F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
+    steps = rows.withColumn("json_pair", bracketed(F.col(text))).withColumn("json_whole", one_value(F.col("json_pair")))
+    open_ = F.col("json_whole").isNull()
+    steps = steps.withColumn("json_fence", F.when(open_, F.nullif(F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1), F.lit(""))))
+    steps = steps.withColumn("json_pair", bracketed(F.col("json_fence"))).withColumn("json_whole", F.coalesce("json_whole", one_value(F.col("json_pair"))))
+    first = F.when(F.col("json_whole").isNull(), F.nullif(F.regexp_extract(text, r"(?s)[{\[].*$", 0), F.lit("")))
+    return steps.withColumn(out, F.coalesce("json_whole", F.try_parse_json(first))).drop("json_pair", "json_whole", "json_fence")
 
 
 def outcome(parsed: Column, finish_reason: Column) -> Column:
@@ -104,48 +109,57 @@ def outcome(parsed: Column, finish_reason: Column) -> Column:
 
 
 def read_responses(responses: DataFrame) -> DataFrame:
-    """``responses`` (``text, finish_reason`` and more) with ``answer`` (JSON text or null) and ``outcome``."""
-    parsed = responses.withColumn("parsed_answer", tolerant_json(without_reasoning(F.col("text"))))
-    out = parsed.withColumn("outcome", outcome(F.col("parsed_answer"), F.col("finish_reason")))
-    return out.withColumn("answer", F.to_json("parsed_answer")).drop("parsed_answer")
+    """``responses`` (``text, finish_reason`` and more) with ``answer`` (a variant, or null) and ``outcome``."""
+    read = tolerant_json(responses.withColumn("bare_text", without_reasoning(F.col("text"))), "bare_text", "answer").drop("bare_text")
+    return read.withColumn("outcome", outcome(F.col("answer"), F.col("finish_reason")))
 
 
 STEP = "struct<order int, role string, tool_raw string, version string, params string, database string, evidence string>"
 
 
 def chain_of(answer: Column) -> Column:
-    """JSON text to a chain; steps whose names carry a version are split."""
-    chain = F.from_json(answer, f"completeness string, steps array<{STEP}>")
-    return F.when(chain.isNotNull(), chain.withField("steps", F.transform(chain["steps"], normal_step)))
+    """An answer (variant) as a chain; steps whose names carry a version are split. What isn't an object is no chain."""
+
+    def step(v: Column) -> Column:
+        field = lambda k: F.try_variant_get(v, f"$.{k}", "int" if k == "order" else "string").alias(k)
+        return normal_step(F.struct(*map(field, STEP_KEYS)))
+
+    steps = F.transform(F.try_variant_get(answer, "$.steps", "array<variant>"), step)
+    chain = F.struct(F.try_variant_get(answer, "$.completeness", "string").alias("completeness"), steps.alias("steps"))
+    return F.when(F.schema_of_variant(answer).startswith("OBJECT"), chain)
 
 
 def normal_step(step: Column) -> Column:
     named = split_version(step["tool_raw"], step["version"])
-    return step.withField("tool_raw", named["tool_raw"]).withField("version", named["version"])
+    return F.struct(*[(named[k] if k in ("tool_raw", "version") else step[k]).alias(k) for k in STEP_KEYS])
 
 
 def conformity(answers: DataFrame, roles: DataFrame, answer: str = "answer") -> DataFrame:
     """``answers`` with ``problems``: what is against the fixed form of a chain, sorted; empty if nothing is.
 
-    Keys may neither lack nor be more; ``completeness`` and ``role`` are closed lists; ``order`` is a whole number from 0.
+    Keys may neither lack nor be more (``chain_keys, step_keys``); ``completeness`` and ``role`` are closed lists; ``order``
+    is a whole number from 0 and no text; the other fields of a step are texts or null, the evidence is a text
+    (``step_types``); steps are an array of objects (``steps``). ``answer`` is a variant; null has all its keys lacking.
     """
     known = roles.agg(F.collect_set("id").alias("known_roles"))  # one row of some dozens of ids
-    array = lambda names: F.array(*map(F.lit, names))
-    differ = lambda keys, names: F.size(F.array_except(keys, array(names))) + F.size(F.array_except(array(names), keys)) > 0
-    raw = F.from_json(answer, "completeness string, steps array<string>")
-    keys = F.coalesce(F.json_object_keys(answer), F.array().cast("array<string>"))
-    order = lambda s: F.get_json_object(s, "$.order")
-    step = lambda s: F.concat(
-        F.when(differ(F.coalesce(F.json_object_keys(s), F.array().cast("array<string>")), STEP_KEYS), array(["step_keys"])).otherwise(array([])),
-        F.when(~F.coalesce(F.array_contains(F.col("known_roles"), F.get_json_object(s, "$.role")), F.lit(False)), array(["role"])).otherwise(array([])),
-        F.when(~F.coalesce(order(s).rlike(r"^\d+$"), F.lit(False)), array(["order"])).otherwise(array([])),
-    )
-    whole = F.concat(
-        F.when(differ(keys, CHAIN_KEYS), array(["chain_keys"])).otherwise(array([])),
-        F.when(~F.coalesce(raw["completeness"].isin(*COMPLETENESS), F.lit(False)), array(["completeness"])).otherwise(array([])),
-        F.flatten(F.transform(F.coalesce(raw["steps"], F.array().cast("array<string>")), step)),
-    )
-    return answers.crossJoin(F.broadcast(known)).withColumn("problems", F.array_sort(F.array_distinct(whole))).drop("known_roles")
+    array = lambda names: F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")
+    keys = lambda v: F.coalesce(F.map_keys(F.try_variant_get(v, "$", "map<string,variant>")), array([]))
+    differ = lambda found, names: (F.size(found) != len(names)) | (F.size(F.array_except(array(names), found)) > 0)
+    kind = lambda v, k: F.coalesce(F.schema_of_variant(F.try_variant_get(v, f"$.{k}", "variant")), F.lit("VOID"))
+    text = lambda v, k: F.when(kind(v, k) == "STRING", F.try_variant_get(v, f"$.{k}", "string"))
+    number = lambda v: F.try_variant_get(v, "$.order", "double")
+    whole = lambda v: kind(v, "order").rlike("INT|DECIMAL|DOUBLE|FLOAT") & (number(v) == F.floor(number(v))) & (number(v) >= 0)
+    said = lambda when, what: F.when(F.coalesce(when, F.lit(True)), F.lit(what))
+    loose = lambda v: reduce(Column.__and__, [kind(v, k).isin("STRING", "VOID") for k in STEP_KEYS[2:6]]) & (kind(v, "evidence") == "STRING")
+    step = lambda v: F.array(
+        said(differ(keys(v), STEP_KEYS), "step_keys"), said(~F.array_contains("known_roles", text(v, "role")), "role"), said(~whole(v), "order"),
+        F.when(F.size(keys(v)) > 0, said(~loose(v), "step_types")), F.when(~F.schema_of_variant(v).startswith("OBJECT"), "steps"),
+    )
+    v = F.col(answer)
+    listed = F.try_variant_get(v, "$.steps", "array<variant>")
+    top = F.array(said(differ(keys(v), CHAIN_KEYS), "chain_keys"), said(~text(v, "completeness").isin(*COMPLETENESS), "completeness"), F.when(F.array_contains(keys(v), "steps") & listed.isNull(), "steps"))
+    problems = F.concat(top, F.flatten(F.transform(F.coalesce(listed, F.array().cast("array<variant>")), step)))
+    return answers.crossJoin(F.broadcast(known)).withColumn("problems", F.array_sort(F.array_distinct(F.array_compact(problems)))).drop("known_roles")
 
 
 def tool_lists(steps: DataFrame, key: list[str]) -> DataFrame:
@@ -178,11 +192,18 @@ def batch_counts(records: DataFrame, run: str = "run_ord") -> DataFrame:
 
 
 def evidence_found(steps: DataFrame, texts: DataFrame, key: str) -> DataFrame:
-    """``steps`` with ``verbatim``: whether the quote, white space collapsed, stands in the text of its document."""
+    """``steps`` with ``verbatim``: whether the quote, white space collapsed, stands in the text of its document.
+
+    The quotes of a document are gathered first, so each text is joined once and no text travels with a step. Of several
+    texts with a key the smallest counts. Empty quotes, and quotes without a text, are not found. Null keys have no text.
+    """
     flat = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))
-    joined = steps.join(texts.select(key, flat(F.col("text")).alias("source_text")), key, "left")
-    quote = flat(F.col("evidence"))
-    return joined.withColumn("verbatim", F.coalesce((quote != "") & F.contains(F.col("source_text"), quote), F.lit(False))).drop("source_text")
+    quotes = steps.where(F.col(key).isNotNull()).groupBy(key).agg(F.collect_set(flat(F.col("evidence"))).alias("quotes"))  # those of one document
+    source = texts.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("text").alias("text"))
+    read = quotes.join(source, key).withColumn("source_text", flat(F.col("text")))
+    found = read.select(key, F.explode(F.filter("quotes", lambda q: (q != "") & F.contains(F.col("source_text"), q))).alias("quote"))
+    marked = steps.withColumn("quote", flat(F.col("evidence"))).join(found.withColumn("there", F.lit(True)), [key, "quote"], "left")
+    return marked.select(*steps.columns, F.coalesce("there", F.lit(False)).alias("verbatim"))
 
 
 def step_quality(steps: DataFrame) -> DataFrame:

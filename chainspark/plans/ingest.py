@@ -101,7 +101,9 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, n = table(spark, sf_dir, "orders"), F.col("o_orderkey")
     key = n.cast("string")
     role = pick([r[1] for r in ontology.role_rows()] + ["no_such_role"], F.col("o_custkey"))
-    step = F.concat(F.lit('{"order":'), (n % 5 - 1).cast("string"), F.lit(',"role":"'), role, F.lit('","tool_raw":"T v1.'), (n % 7).cast("string"), F.lit('","version":null,"params":null,"database":null,"evidence":"e"'), F.when(n % 11 == 0, F.lit(',"more":1')).otherwise(F.lit("")), F.lit("}"))
+    quoted = lambda when, x: F.when(when, F.concat(F.lit('"'), x, F.lit('"'))).otherwise(x)
+    order = quoted(n % 13 == 0, (n % 5 - 1).cast("string"))
+    step = F.concat(F.lit('{"order":'), order, F.lit(',"role":"'), role, F.lit('","tool_raw":"T v1.'), (n % 7).cast("string"), F.lit('","version":null,"params":'), F.when(n % 17 == 0, "21").otherwise("null"), F.lit(',"database":null,"evidence":"e"'), F.when(n % 11 == 0, F.lit(',"more":1')).otherwise(F.lit("")), F.lit("}"))
     answer = F.concat(F.lit('{"completeness":"'), pick(["complete", "partial", "sketch", "whole"], n), F.lit('","steps":['), step, F.lit("]}"))
     shape = F.col("o_custkey") % 8
     body = (
@@ -210,7 +212,7 @@ WITH r AS (
 ), s AS (SELECT *, shape IN (0, 1, 2, 3, 7) AS parsed FROM r)
 SELECT response, CASE WHEN parsed AND cut THEN 'ok_truncated' WHEN parsed THEN 'ok' WHEN cut THEN 'truncated' ELSE 'unparseable' END AS outcome,
   CASE WHEN parsed THEN completeness END AS completeness, CASE WHEN parsed THEN role END AS role, CASE WHEN parsed THEN 'T' END AS tool_raw, CASE WHEN parsed THEN '1.' || CAST(n % 7 AS VARCHAR) END AS version,
-  CASE WHEN parsed THEN concat_ws('|', CASE WHEN completeness = 'whole' THEN 'completeness' END, CASE WHEN n % 5 = 0 THEN 'order' END, CASE WHEN role = 'no_such_role' THEN 'role' END, CASE WHEN n % 11 = 0 THEN 'step_keys' END) END AS problems FROM s""",
+  CASE WHEN parsed THEN concat_ws('|', CASE WHEN completeness = 'whole' THEN 'completeness' END, CASE WHEN n % 5 = 0 OR n % 13 = 0 THEN 'order' END, CASE WHEN role = 'no_such_role' THEN 'role' END, CASE WHEN n % 11 = 0 THEN 'step_keys' END, CASE WHEN n % 17 = 0 THEN 'step_types' END) END AS problems FROM s""",
         "prompt_rows": f"""
 WITH roles(pos, id, stage) AS (VALUES {", ".join(f"({r[0]}, {quoted(r[1])}, {quoted(r[2])})" for r in ontology.role_rows())}),
 b AS (SELECT string_agg('- `' || id || '` (' || stage || '): does ' || id || ' [e.g. t-' || id || ']', chr(10) ORDER BY pos) AS block FROM roles)
