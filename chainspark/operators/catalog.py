@@ -96,13 +96,38 @@ def issues(records: DataFrame, steps: DataFrame, roles: DataFrame, tools: DataFr
     return reduce(DataFrame.unionByName, [step_issues(steps, roles, tools), reference_issues(steps), record_issues(records, archetypes), role_issues(records, steps, archetypes)])
 
 
+#: Orders that are disputed: a step of the first role (and, where given, of these tools) anywhere before one of the second.
+PRACTICES = (
+    ("rarefied_before_composition_test", "normalize", None, "differential_abundance", ["ancombc", "aldex2"]),
+    ("primers_removed_after_denoising", "denoise", None, "remove_primers", None),
+)
+
+
+def practice_findings(steps: DataFrame, practices=PRACTICES) -> DataFrame:
+    """``rec_id, chain, practice, first_pos, then_pos``: chains in which a disputed order stands, with its first and last step.
+
+    Findings, not errors. ``steps``: ``rec_id, chain, pos, role, tool``. ``practices`` are a small table of (name, role, tools,
+    role, tools); null tools are any. Each step meets the sides of the table in one broadcast join, and chains are
+    grouped once, by partial sums.
+    """
+    sides = [(name, side, role, tools) for name, a, a_tools, b, b_tools in practices for side, role, tools in (("first", a, a_tools), ("then", b, b_tools))]
+    table = steps.sparkSession.createDataFrame(sides, "practice string, side string, role string, tools array<string>")
+    met = steps.join(F.broadcast(table), "role").where(F.col("tools").isNull() | F.array_contains("tools", F.col("tool")))
+    at = lambda side: F.when(F.col("side") == side, F.col("pos"))
+    return met.groupBy(*CHAIN, "practice").agg(F.min(at("first")).alias("first_pos"), F.max(at("then")).alias("then_pos")).where("first_pos < then_pos")
+
+
 def collapsed(found: DataFrame) -> DataFrame:
-    """Issues of a record that differ only in a trailing index, with their number."""
-    place = F.regexp_replace("where", r"\[\d+\]$", "")
-    return found.groupBy("rec_id", "severity", "code", place.alias("where"), "message").agg(F.count(F.lit(1)).alias("n"))
+    """Issues of a record that differ only in a trailing index, with their number and the first index among them.
+
+    ``orderBy("rec_id", "first_index")`` lists a record's issues as they were first seen.
+    """
+    place, index = F.regexp_replace("where", r"\[\d+\]$", ""), F.regexp_extract("where", r"\[(\d+)\]$", 1).try_cast("bigint")
+    return found.groupBy("rec_id", "severity", "code", place.alias("where"), "message").agg(F.count(F.lit(1)).alias("n"), F.min(index).alias("first_index"))
 
 
-def totals(found: DataFrame, strict: bool = False) -> DataFrame:
-    """Errors, warnings and whether the catalog passes; ``strict``: warnings fail too."""
+def totals(found: DataFrame, records: DataFrame | None = None, strict: bool = False) -> DataFrame:
+    """Errors, warnings and whether the catalog passes, with the number of ``records`` if given; ``strict``: warnings fail too."""
     errors, warnings = (F.count_if(F.col("severity") == s) for s in ("error", "warning"))
-    return found.agg(errors.alias("errors"), warnings.alias("warnings")).withColumn("passed", (F.col("errors") == 0) & (F.lit(not strict) | (F.col("warnings") == 0)))
+    told = found.agg(errors.alias("errors"), warnings.alias("warnings")).withColumn("passed", (F.col("errors") == 0) & (F.lit(not strict) | (F.col("warnings") == 0)))
+    return told if records is None else told.crossJoin(F.broadcast(records.agg(F.count(F.lit(1)).alias("records"))))  # one row each

@@ -40,11 +40,17 @@ def failures(results: DataFrame) -> DataFrame:
     return results.where(~F.col("ok")).groupBy("fixture_id", "label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "fixture_id", "label")
 
 
-def role_scores(steps: DataFrame, labelled: DataFrame) -> DataFrame:
-    """Precision and recall of extracted roles; both tables: ``doc, role``."""
-    a, b = (t.select("doc", "role").distinct().withColumn(n, F.lit(1)) for t, n in ((steps, "got"), (labelled, "want")))
-    hits = F.count_if(F.col("got").isNotNull() & F.col("want").isNotNull())
-    return a.join(b, ["doc", "role"], "full").agg(F.try_divide(hits, F.count("got")).alias("precision"), F.try_divide(hits, F.count("want")).alias("recall"))
+def role_scores(steps: DataFrame, labelled: DataFrame, *by: str) -> DataFrame:
+    """Precision, recall and counts of extracted roles (over all, or per ``by``); both tables: ``doc, role``.
+
+    Repeated pairs count once; a ratio without denominator is null.
+    """
+    got = steps.select("doc", "role").withColumns({"got": F.lit(1), "want": F.lit(0)})
+    want = labelled.select("doc", "role").withColumns({"got": F.lit(0), "want": F.lit(1)})
+    pairs = got.unionByName(want).groupBy("doc", "role").agg(F.max("got").alias("got"), F.max("want").alias("want"))
+    hits = F.sum(F.col("got") * F.col("want"))
+    told = [F.sum("got").alias("extracted"), F.sum("want").alias("labelled"), F.try_divide(hits.cast("double"), F.sum("got").cast("double")).alias("precision"), F.try_divide(hits.cast("double"), F.sum("want").cast("double")).alias("recall")]
+    return pairs.groupBy(*by).agg(*told)
 
 
 def run_costs(runs: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.tables import written
+
 
 def archetypes_of(steps: DataFrame, archetypes: DataFrame) -> DataFrame:
     """``rec_id, archetype``: archetypes whose required roles a chain has all of; one without required roles needs an expected role."""
@@ -41,34 +43,132 @@ def archetype_consensus(chains: DataFrame, *by: str) -> DataFrame:
     return per.select("archetype", *by, "chains", "variants", F.col("top.sequence").alias("sequence"), (-F.col("top.m") / F.col("chains")).alias("share"))
 
 
-def substitutes(counts: DataFrame, top_n: int = 20) -> DataFrame:
-    """Pairs of tools at one role of an archetype, ``a`` before ``b`` by name, with their shares of the role's uses.
+def modal_tools(uses: DataFrame, *by: str) -> DataFrame:
+    """Per archetype, ``by`` and role: uses, different tools, the most used tool and its share; ties to the smaller name.
+
+    ``uses``: ``archetype, role, key`` and ``by``, a row for each use, or counts of them in ``n``.
+    """
+    n = F.sum("n") if "n" in uses.columns else F.count(F.lit(1))
+    place = ["archetype", *by, "role"]
+    counts = uses.where("key is not null").groupBy(*place, "key").agg(n.alias("n"))
+    per = counts.groupBy(*place).agg(F.sum("n").alias("uses"), F.count(F.lit(1)).alias("tools"), F.min(F.struct((-F.col("n")).alias("m"), "key")).alias("top"))
+    return per.select(*place, "uses", "tools", F.col("top.key").alias("tool"), (-F.col("top.m") / F.col("uses")).alias("share"))
+
+
+def substitutes(counts: DataFrame, *by: str, top_n: int | None = None) -> DataFrame:
+    """Pairs of tools at one role of an archetype (and ``by``), ``a`` before ``b`` by name, with their shares of the role's uses.
+
+    ``counts``: ``archetype, role, key, n`` and ``by``. Keys should be ids of the tool table, so a role has some dozens of
+    them; ``top_n`` keeps only pairs among the most used ones. The tools of a role are one row, and its pairs come from it.
+    """
+    place = ["archetype", *by, "role"]
+    total = counts.groupBy(*place).agg(F.sum("n").alias("all"), F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "key"))).alias("ranked"))
+    ranked = F.slice("ranked", 1, top_n) if top_n else F.col("ranked")
+    share = lambda x: -x["m"] / F.col("all")
+    one = total.select(*place, "all", ranked.alias("other"), F.explode(ranked).alias("x"))
+    pairs = one.select(*place, "all", "x", F.explode(F.filter("other", lambda y: y["key"] > F.col("x.key"))).alias("y"))
+    return pairs.select(*place, F.col("x.key").alias("a"), F.col("y.key").alias("b"), share(F.col("x")).alias("share_a"), share(F.col("y")).alias("share_b"))
+
+
+def substitution_classes(counts: DataFrame, roles: DataFrame) -> DataFrame:
+    """Per archetype and role: how evenly its tools are used (entropy in bits, leading share) against what the ontology says.
 
-    ``counts``: ``archetype, role, key, n``. Pairs are made among the ``top_n`` tools of a role.
+    ``surprising``: tools are swapped freely where the ontology forbids it, or one has nearly all uses where it allows it.
     """
     place = ["archetype", "role"]
-    total = counts.groupBy(*place).agg(F.sum("n").alias("all"))
-    order = W.partitionBy(*place).orderBy(F.desc("n"), "key")
-    ranked = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_n)
-    shares = ranked.join(total, place).select(*place, "key", (F.col("n") / F.col("all")).alias("share"))
-    a, b = (shares.withColumnsRenamed({"key": x, "share": f"share_{x}"}) for x in "ab")
-    return a.join(b, place).where("a < b")
+    total = counts.groupBy(*place).agg(F.sum("n").alias("uses"), F.count(F.lit(1)).alias("tools"), F.max("n").alias("most"), F.sum(F.col("n") * F.log2("n")).alias("logs"))
+    entropy = F.round(F.log2("uses") - F.col("logs") / F.col("uses"), 9) + F.lit(0.0)
+    dim = F.broadcast(roles.select(F.col("id").alias("role"), "substitutable"))  # some dozens of roles
+    seen = total.join(dim, "role", "left").withColumn("substitutable", F.coalesce("substitutable", F.lit(True)))
+    lead = F.col("most") / F.col("uses")
+    surprising = F.when(F.col("substitutable"), lead >= 0.9).otherwise(lead < 0.5)
+    return seen.select(*place, "uses", "tools", entropy.alias("entropy"), lead.alias("lead"), "substitutable", surprising.alias("surprising"))
 
 
-def coverage_holes(records: DataFrame, axes: dict[str, list[str]]) -> DataFrame:
-    """Cells of the axes that no record covers. ``records`` have an array for each axis; empty or ``ANY`` covers all.
+def coverage_cells(records: DataFrame, axes: dict[str, list[str]]) -> DataFrame:
+    """Every cell of the axes with ``records``, the number of records that cover it. ``records``: ``rec_id`` and an array
+    for each axis; an empty one, or ``ANY``, covers all values.
 
     The axes are closed lists of some dozens of values, and so is their grid.
     """
     grid = records.sparkSession.range(1).select()
-    for name, values in axes.items():
-        grid = grid.withColumn(name, F.explode(F.array(*map(F.lit, values))))
-    covered = records.select(*axes)
+    covered = records.select("rec_id", *axes)
     for name, values in axes.items():
         every = F.array(*map(F.lit, values))
+        grid = grid.withColumn(name, F.explode(every))
         open_ = (F.coalesce(F.size(name), F.lit(0)) <= 0) | F.array_contains(name, "ANY")
-        covered = covered.withColumn(name, F.explode(F.when(open_, every).otherwise(F.col(name)))).distinct()
-    return grid.join(covered, list(axes), "left_anti")
+        covered = covered.withColumn(name, F.explode(F.when(open_, every).otherwise(F.array_distinct(name))))
+    counts = covered.groupBy(*axes).agg(F.countDistinct("rec_id").alias("records"))
+    return grid.join(counts, list(axes), "left").withColumn("records", F.coalesce("records", F.lit(0)))
+
+
+def coverage_holes(records: DataFrame, axes: dict[str, list[str]]) -> DataFrame:
+    """Cells of the axes that no record covers."""
+    return coverage_cells(records, axes).where("records = 0").select(*axes)
+
+
+def coverage_totals(records: DataFrame, axes: dict[str, list[str]]) -> DataFrame:
+    """Sub-totals of coverage over each choice of axes: ``level`` counts the axes that are summed over, which are null.
+
+    ``cells, covered, holes``: how many cells there are, with and without a record; ``most``: records of the best covered one.
+    """
+    cells = coverage_cells(records, axes)
+    hole = F.count_if(F.col("records") == 0)
+    told = cells.cube(*axes).agg(F.bit_count(F.grouping_id()).alias("level"), F.count(F.lit(1)).alias("cells"), (F.count(F.lit(1)) - hole).alias("covered"), hole.alias("holes"), F.max("records").alias("most"))
+    return told.select(*axes, "level", "cells", "covered", "holes", "most")
+
+
+def role_sets(steps: DataFrame, roles: list[str], *by: str) -> DataFrame:
+    """``mask, n`` (and ``by``): the different sets of roles of chains, as bits by place in ``roles``, with the number of chains.
+
+    Roles that are not listed don't count. Chains of one set are counted before anything else is done with them.
+    """
+    if len(roles) > 62:
+        raise ValueError("at most 62 roles fit into a mask")
+    bit = F.coalesce(*[F.when(F.col("role") == r, F.lit(1 << i)) for i, r in enumerate(roles)], F.lit(0)).cast("bigint")
+    return steps.groupBy("rec_id", *by).agg(F.bit_or(bit).alias("mask")).groupBy("mask", *by).agg(F.count(F.lit(1)).alias("n"))
+
+
+def derived_archetypes(sets: DataFrame, k: int, rounds: int = 10) -> tuple[DataFrame, list[int]]:
+    """``mask, n, cluster`` of every role set, and the modes of the clusters, by k-modes over the sets.
+
+    The ``k`` most frequent sets are the first modes. A set joins the mode from which it differs in the fewest roles (ties: the
+    first mode); the roles that at least half the chains of a cluster have are its next mode. It ends when no mode changes,
+    or after ``rounds``. Counts decide, so reruns and other partitions agree. The driver holds ``k`` numbers.
+    """
+    sets = written(sets.groupBy("mask").agg(F.sum("n").alias("n")))
+    modes = [r.mask for r in sets.orderBy(F.desc("n"), "mask").limit(k).collect()]
+    if not modes:
+        return sets.withColumn("cluster", F.lit(0)), modes
+
+    def assigned(modes: list[int]) -> DataFrame:
+        far = F.array(*[F.struct(F.bit_count(F.col("mask").bitwiseXOR(F.lit(m))).alias("d"), F.lit(i).alias("cluster")) for i, m in enumerate(modes)])
+        return sets.withColumn("cluster", F.array_min(far)["cluster"])
+
+    for _ in range(rounds):
+        has = [F.sum(F.when(F.col("mask").bitwiseAND(F.lit(1 << b)) != 0, F.col("n")).otherwise(0)).alias(f"b{b}") for b in range(62)]
+        found = {r.cluster: r for r in assigned(modes).groupBy("cluster").agg(F.sum("n").alias("all"), *has).collect()}  # k rows
+        new = [sum(1 << b for b in range(62) if 2 * found[i][f"b{b}"] >= found[i]["all"]) if i in found else m for i, m in enumerate(modes)]
+        if new == modes:
+            break
+        modes = new
+    return assigned(modes), modes
+
+
+def archetype_contingency(clustered: DataFrame, archetypes: DataFrame, roles: list[str]) -> DataFrame:
+    """``archetype, cluster, chains`` and the shares of either: how hand-written archetypes meet the clusters of role sets.
+
+    A set belongs to each archetype whose required roles it has (``archetypes_of``), and to none (null) otherwise. Everything
+    follows from the set, so sets are compared and never chains.
+    """
+    bit = lambda c: F.aggregate(F.coalesce(c, F.array().cast("array<string>")), F.lit(0).cast("bigint"), lambda m, r: m.bitwiseOR(F.coalesce(*[F.when(r == x, F.lit(1 << i)) for i, x in enumerate(roles)], F.lit(1 << 62)).cast("bigint")))
+    dim = archetypes.select(F.col("id").alias("archetype"), bit("required_roles").alias("required"), bit("expected_roles").alias("expected"))
+    mask = F.col("mask")
+    fits = F.when(F.col("required") != 0, mask.bitwiseAND(F.col("required")) == F.col("required")).otherwise(mask.bitwiseAND(F.col("expected")) != 0)
+    met = clustered.join(F.broadcast(dim), fits, "left")  # a dimension of archetypes
+    cells = met.groupBy("archetype", "cluster").agg(F.sum("n").alias("chains"))
+    of = lambda c: F.col("chains") / F.sum("chains").over(W.partitionBy(c))  # noqa: E731  a cell for each archetype and cluster
+    return cells.select("archetype", "cluster", "chains", of("archetype").alias("of_archetype"), of("cluster").alias("of_cluster"))
 
 
 def opaque_suites(steps: DataFrame, tools: DataFrame) -> DataFrame:

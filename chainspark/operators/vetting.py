@@ -13,25 +13,36 @@ TIERS = ["reference", "usable", "documented", "paper_only", "rejected"]
 def divergences(steps: DataFrame) -> DataFrame:
     """``rec_id, type, role``: what a record's observed chain has otherwise than its claimed one, role by role.
 
-    ``steps``: ``rec_id, chain, pos, role, tool, version``. Records without an observed chain have no rows. Versions
-    differ only where both sides state one. Orders differ where two roles' first steps are swapped.
+    ``steps``: ``rec_id, chain, pos, role, tool, version`` and, if there, ``params, database``. Records without an observed
+    chain have no rows. Versions, parameters and databases differ only where both sides state any. A database of the same
+    name with another release is ``db_version_mismatch``; one without a number in it, ``db_unspecified``, and another name
+    ``tool_substitution``. Orders differ where two roles' first steps are swapped.
     """
-    side = lambda name: steps.where(F.col("chain") == name).groupBy("rec_id", "role").agg(
-        F.array_sort(F.collect_set("tool")).alias(f"{name}_tools"), F.array_sort(F.collect_set("version")).alias(f"{name}_versions"), F.min("pos").alias(f"{name}_pos"))
+    stated = [c for c in ("tool", "version", "params", "database") if c in steps.columns]
+    side = lambda name: steps.where(F.col("chain") == name).groupBy("rec_id", "role").agg(*[F.array_sort(F.collect_set(c)).alias(f"{name}_{c}") for c in stated], F.min("pos").alias(f"{name}_pos"))
     seen = steps.where("chain = 'observed'").select("rec_id").distinct()
     both = side("claimed").join(seen, "rec_id", "left_semi").join(side("observed"), ["rec_id", "role"], "full")
     there = F.col("claimed_pos").isNotNull() & F.col("observed_pos").isNotNull()
-    stated = (F.size("claimed_versions") > 0) & (F.size("observed_versions") > 0)
-    kinds = F.array_compact(F.array(
+    differ = lambda c: F.col(f"claimed_{c}") != F.col(f"observed_{c}")
+    each = lambda c: (F.size(f"claimed_{c}") > 0) & (F.size(f"observed_{c}") > 0) & differ(c)
+    kinds = [
         F.when(F.col("claimed_pos").isNull(), "undisclosed_step"), F.when(F.col("observed_pos").isNull(), "missing_step"),
-        F.when(there & (F.col("claimed_tools") != F.col("observed_tools")), "tool_substitution"),
-        F.when(there & stated & (F.col("claimed_versions") != F.col("observed_versions")), "version_mismatch"),
-    ))
-    single = both.select("rec_id", F.explode(kinds).alias("type"), "role")
-    spots = both.where(there).select("rec_id", "role", "claimed_pos", "observed_pos")
-    later = spots.select("rec_id", F.col("role").alias("after"), F.col("claimed_pos").alias("c"), F.col("observed_pos").alias("o"))
-    swapped = spots.join(later, "rec_id").where("claimed_pos < c and observed_pos > o")  # pairs of one record's roles
-    return single.unionByName(swapped.select("rec_id", F.lit("order_mismatch").alias("type"), "role").distinct())
+        F.when(there & differ("tool"), "tool_substitution"), F.when(there & each("version"), "version_mismatch"),
+    ]
+    if "params" in stated:
+        kinds.append(F.when(there & each("params"), "param_mismatch"))
+    if "database" in stated:
+        names = lambda s: F.array_sort(F.array_distinct(F.transform(F.col(f"{s}_database"), lambda d: F.regexp_replace(F.lower(d), r"[\W_]*v?\d.*$", ""))))
+        same = names("claimed") == names("observed")
+        unspecified = lambda s: (F.size(f"{s}_database") > 0) & ~F.exists(f"{s}_database", lambda d: d.rlike(r"\d"))
+        kinds += [
+            F.when(there & each("database") & same & ~unspecified("claimed") & ~unspecified("observed"), "db_version_mismatch"),
+            F.when(unspecified("claimed") | unspecified("observed"), "db_unspecified"), F.when(there & each("database") & ~same, "tool_substitution"),
+        ]
+    single = both.select("rec_id", F.explode(F.array_distinct(F.array_compact(F.array(*kinds)))).alias("type"), "role")
+    spots = both.where(there).groupBy("rec_id").agg(F.collect_list(F.struct("role", F.col("claimed_pos").alias("c"), F.col("observed_pos").alias("o"))).alias("spots"))  # the roles of one record
+    swapped = F.filter("spots", lambda x: F.exists("spots", lambda y: (x["c"] < y["c"]) & (x["o"] > y["o"])))
+    return single.unionByName(spots.select("rec_id", F.lit("order_mismatch").alias("type"), F.explode(F.transform(swapped, lambda x: x["role"])).alias("role")))
 
 
 def final_tier(records: DataFrame) -> DataFrame:
@@ -99,11 +110,16 @@ def unspecified_databases(steps: DataFrame, databases: DataFrame) -> DataFrame:
 
 
 def spot_checks(judged: DataFrame, per_cent: int = 5, seed: int = 0) -> DataFrame:
-    """The fixed share of records that people look at, chosen by a hash of the id: the same ones in every run."""
-    return judged.where(F.pmod(F.xxhash64("rec_id", F.lit(seed)), F.lit(100)) < per_cent)
+    """The fixed share of records that people look at, chosen by a digest of the id: the same ones in every run and under any
+    partitioning, and a larger share holds the smaller. Records without id are never chosen."""
+    digest = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("rec_id").cast("string"))), 1, 8), 16, 10).cast("bigint")
+    return judged.where(digest % 100 < per_cent)
 
 
 def agreement(checked: DataFrame) -> DataFrame:
-    """Per batch: how many records were looked at, and the share on which person and judge agree."""
+    """Per batch, in order of the batches: how many records were looked at by both, the share on which person and judge agree,
+    and by how much it fell since the last batch with any (``fell``, 0 at least)."""
     agree = (F.col("human_tier") == F.col("judged_tier")).cast("double")
-    return checked.groupBy("batch").agg(F.count(agree).alias("checked"), F.avg(agree).alias("agreement"))
+    per = checked.groupBy("batch").agg(F.count(agree).alias("checked"), F.avg(agree).alias("agreement"))
+    before = F.last("agreement", ignorenulls=True).over(W.orderBy("batch").rowsBetween(W.unboundedPreceding, -1))  # one row a batch
+    return per.withColumn("fell", F.greatest(before - F.col("agreement"), F.lit(0.0)))

@@ -105,16 +105,16 @@ t AS (SELECT rec_id, chain, step_id, max_by(ord, pos) AS ord FROM steps GROUP BY
 s AS (SELECT steps.*, d.roles, row_number() OVER (PARTITION BY rec_id, chain, step_id ORDER BY pos) AS nth FROM steps LEFT JOIN tool_dim d ON d.id = tool),
 dep AS (SELECT s.*, 's' || CAST(line - 1 AS VARCHAR) AS target, t.ord AS target_ord FROM s LEFT JOIN t ON t.rec_id = s.rec_id AND t.chain = s.chain AND t.step_id = 's' || CAST(s.line - 1 AS VARCHAR) WHERE line > 1),
 i AS (
-  SELECT rec_id, chain, 'error' AS severity, 'unknown_role' AS code, role AS message FROM s WHERE role = 'mystery'
-  UNION ALL SELECT rec_id, chain, 'warning', 'unknown_tool', tool FROM s WHERE tool IS NOT NULL AND roles IS NULL
-  UNION ALL SELECT rec_id, chain, 'warning', 'tool_at_other_role', tool || ' at ' || role FROM s WHERE role <> 'mystery' AND roles IS NOT NULL AND NOT list_contains(roles, role)
-  UNION ALL SELECT rec_id, chain, 'warning', 'unnamed_step', 'no tool' FROM s WHERE tool IS NULL AND NOT raw
-  UNION ALL SELECT rec_id, chain, 'error', 'duplicate_step', step_id FROM s WHERE nth > 1
-  UNION ALL SELECT rec_id, chain, 'warning', 'no_evidence', 'observed without evidence' FROM s WHERE chain = 'observed' AND evidence = 0
-  UNION ALL SELECT rec_id, chain, 'error', 'unknown_dependency', target FROM dep WHERE target_ord IS NULL
-  UNION ALL SELECT rec_id, chain, 'error', 'dependency_order', target FROM dep WHERE target_ord >= ord
-  UNION ALL SELECT s.rec_id, s.chain, 'error', 'unknown_alternative', 's9' FROM s LEFT JOIN t ON t.rec_id = s.rec_id AND t.chain = s.chain AND t.step_id = 's9' WHERE alt AND t.step_id IS NULL)
-SELECT rec_id, severity, code, chain AS "where", message, count(*) AS n FROM i GROUP BY ALL""",
+  SELECT rec_id, chain, pos, 'error' AS severity, 'unknown_role' AS code, role AS message FROM s WHERE role = 'mystery'
+  UNION ALL SELECT rec_id, chain, pos, 'warning', 'unknown_tool', tool FROM s WHERE tool IS NOT NULL AND roles IS NULL
+  UNION ALL SELECT rec_id, chain, pos, 'warning', 'tool_at_other_role', tool || ' at ' || role FROM s WHERE role <> 'mystery' AND roles IS NOT NULL AND NOT list_contains(roles, role)
+  UNION ALL SELECT rec_id, chain, pos, 'warning', 'unnamed_step', 'no tool' FROM s WHERE tool IS NULL AND NOT raw
+  UNION ALL SELECT rec_id, chain, pos, 'error', 'duplicate_step', step_id FROM s WHERE nth > 1
+  UNION ALL SELECT rec_id, chain, pos, 'warning', 'no_evidence', 'observed without evidence' FROM s WHERE chain = 'observed' AND evidence = 0
+  UNION ALL SELECT rec_id, chain, pos, 'error', 'unknown_dependency', target FROM dep WHERE target_ord IS NULL
+  UNION ALL SELECT rec_id, chain, pos, 'error', 'dependency_order', target FROM dep WHERE target_ord >= ord
+  UNION ALL SELECT s.rec_id, s.chain, s.pos, 'error', 'unknown_alternative', 's9' FROM s LEFT JOIN t ON t.rec_id = s.rec_id AND t.chain = s.chain AND t.step_id = 's9' WHERE alt AND t.step_id IS NULL)
+SELECT rec_id, severity, code, chain AS "where", message, count(*) AS n, min(pos) AS first_index FROM i GROUP BY ALL""",
         "record_checks": base + f""",
 r AS (SELECT o_orderkey AS k, {listed(["amplicon_survey", "genome_recovery", "other"])}[CAST(o_orderkey % 3 AS INT) + 1] AS archetype, {listed(vetting.TIERS)}[CAST(o_orderkey % 4 AS INT) + 1] AS tier FROM orders),
 need(archetype, code, role) AS (VALUES {", ".join(f"({text(a)}, {text(c)}, {text(x)})" for a, req, red in ARCHETYPES for c, xs in (("missing_required_role", req), ("missing_red_flag_role", red)) for x in xs)}),

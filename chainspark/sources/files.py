@@ -45,6 +45,20 @@ def write_records(records: DataFrame, path: str, form: str = "parquet") -> None:
     records.write.mode("overwrite").format(form).save(path)
 
 
+def write_evaluation(runs: DataFrame, path: str, form: str = "json") -> None:
+    """Evaluation runs without the list of single assertions, which belongs to its own table."""
+    write_records(runs.drop("results"), path, form)
+
+
+def write_release(records: DataFrame, path: str, form: str = "json", tier: str = "tier") -> None:
+    """The catalog as one release: a folder for each tier, files sorted by ``rec_id``, and no id in two files of a tier.
+
+    Rows are dealt by ranges of (tier, rec_id), so any number of tasks writes it and a large tier has several files.
+    """
+    ordered = records.withColumn(tier, F.coalesce(tier, F.lit("none"))).repartitionByRange(tier, "rec_id").sortWithinPartitions(tier, "rec_id")
+    ordered.write.mode("overwrite").partitionBy(tier).format(form).save(path)
+
+
 def write_payload(tables: dict[str, DataFrame], path: str) -> None:
     """One folder for each table of an analysis."""
     for name, table in tables.items():

@@ -61,7 +61,9 @@ def test_tiers(spark):
 
 def test_role_scores_and_failures(spark):
     pairs = lambda rows: spark.createDataFrame(rows, "doc int, role string")
-    assert tuple(evaluate.role_scores(pairs([(1, "a"), (1, "b")]), pairs([(1, "a")])).first()) == (0.5, 1.0)
+    assert tuple(evaluate.role_scores(pairs([(1, "a"), (1, "b"), (1, "b")]), pairs([(1, "a")])).first()) == (2, 1, 0.5, 1.0)
+    per = {r.role: (r.precision, r.recall) for r in evaluate.role_scores(pairs([(1, "a"), (2, "b")]), pairs([(1, "a"), (2, "a"), (3, "c")]), "role").collect()}
+    assert per == {"a": (1.0, 0.5), "b": (0.0, None), "c": (None, 0.0)}
     rows = spark.createDataFrame([(1, "f", "x", False), (2, "f", "x", False), (1, "f", "y", True)], "run int, fixture_id string, label string, ok boolean")
     assert [tuple(r) for r in evaluate.failures(rows).collect()] == [("f", "x", 2)]
 
