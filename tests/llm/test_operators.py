@@ -297,8 +297,35 @@ def test_toxicity_of_a_rare_class(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     model = toxicity.fit(docs, spark.createDataFrame([(i, int(i % 50 == 0)) for i, _ in rows], "doc_id bigint, toxic int"))
     seen = np.array(sorted({w for i, t in rows if i % 50 == 0 for w in t.split()}))
-    toxic = model.words[model.word_ratio > 0]
-    assert len(toxic) and np.isin(toxic, toxicity.hash64(pa.array(seen))).all()
+    toxic = model.words[model.ratios[:, 0] > 0]
+    assert len(toxic) and np.isin(toxic, toxicity.hash64(pa.array(seen))).all() and toxicity.hash64(pa.array(["slur"]))[0] in toxic
+
+
+def test_toxicity_ratios_equal_the_rule(spark):
+    """Counts of contexts, discounts and shared backoff against a plain restatement, with and without each fold."""
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 30, 25)) + (" bad" * (i % 4) if i % 3 == 0 else ""), int(i % 3 == 0), i % toxicity.FOLDS) for i in range(120)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int, part int").repartition(5)
+    pairs = table.mapInArrow(toxicity.context_folds, "v bigint, w bigint, m0 bigint, m1 bigint").groupBy("v", "w").agg(F.bit_or("m0").alias("m0"), F.bit_or("m1").alias("m1"))
+    words, ratios = toxicity.word_ratios(pairs)
+    for g in range(toxicity.FOLDS + 1):
+        contexts = [{}, {}]
+        for _, text, y, part in rows:
+            if part != g - 1:
+                for v, w in zip(["", *text.split()], text.split()):
+                    contexts[y].setdefault(w, set()).add(v)
+        k = [{w: len(v) for w, v in c.items()} for c in contexts]
+        t = [sum(x.values()) for x in k]
+        size = min(t)
+        e = [{w: max(0.0, k[c].get(w, 0) * size / t[c] - toxicity.DISCOUNT - toxicity.EXPLAINED * k[1 - c].get(w, 0) * size / t[1 - c]) for w in set(k[0]) | set(k[1])} for c in (0, 1)]
+        want = {}
+        for w in e[0]:
+            pooled = (k[0].get(w, 0) + k[1].get(w, 0)) / sum(t)
+            free = [size - sum(e[c].values()) for c in (0, 1)]
+            p = [(e[c][w] + free[c] * pooled) / free[c] for c in (0, 1)]
+            want[toxicity.hash64(pa.array([w]))[0]] = np.log(p[1]) - np.log(p[0])
+        got = dict(zip(words.tolist(), ratios[:, g]))
+        assert all(abs(got.get(h, 0.0) - r) < 1e-9 for h, r in want.items()) and any(r > 0.5 for r in want.values())
 
 
 def test_part_masses_bound_what_texts_share():
