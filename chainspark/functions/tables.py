@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: A key of more rows than FREQUENT may be treated apart; at most MOST_FREQUENT keys are, so their facts fit anywhere.
 FREQUENT, MOST_FREQUENT = 10_000, 256
+#: Rows of a table that may be broadcast.
+SMALL = 50_000
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -28,6 +30,11 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dimension(table: DataFrame, most: int = SMALL) -> DataFrame:
+    """``table`` to be broadcast, if it has at most ``most`` rows; a larger one is joined as Spark sees fit."""
+    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
+
+
 def with_facts(rows: DataFrame, facts: DataFrame, keys: list[str], times: str) -> DataFrame:
     """Inner join of many rows with one fact per key; ``times``: the facts' column with the number of rows of the key.
 

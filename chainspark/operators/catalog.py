@@ -10,9 +10,10 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.tables import dimension
+
 CHAIN = ["rec_id", "chain"]
 
 
@@ -26,47 +27,55 @@ def _rows(table: DataFrame, where: Column, checks: list[Column]) -> DataFrame:
     return found.select("rec_id", "i.severity", "i.code", "where", F.substring("i.message", 1, 200).alias("message"))
 
 
-def step_issues(steps: DataFrame, roles: DataFrame, tools: DataFrame) -> DataFrame:
-    """Unknown roles and tools, tools at other roles than they declare, unnamed and repeated steps, missing evidence."""
-    role_dim = F.broadcast(roles.select(F.col("id").alias("role"), F.lit(True).alias("role_known")))
-    tool_dim = F.broadcast(tools.select(F.col("id").alias("tool"), F.col("roles").alias("tool_roles"), F.lit(True).alias("tool_known")))
-    nth = F.row_number().over(W.partitionBy(*CHAIN, "step_id").orderBy("pos"))
-    seen = steps.withColumn("nth", nth).join(role_dim, "role", "left").join(tool_dim, "tool", "left")
-    known, named = F.col("role_known").isNotNull(), F.coalesce("tool", F.lit("")) != ""
-    checks = [
+def chain_issues(steps: DataFrame, roles: DataFrame, tools: DataFrame) -> DataFrame:
+    """Issues of single steps and of the steps that they name.
+
+    Unknown roles and tools, tools at other roles than they declare, unnamed and repeated steps, missing evidence;
+    dependencies and alternatives that name no step of the chain, name the step itself, or come no earlier in order. The
+    last of several steps with an id counts. A chain becomes one row, in one shuffle; all else happens in the row.
+    """
+    role_dim = dimension(roles.select(F.col("id").alias("role"), F.lit(True).alias("role_known")))
+    tool_dim = dimension(tools.select(F.col("id").alias("tool"), F.col("roles").alias("tool_roles"), F.lit(True).alias("tool_known")))
+    known, tool_known = F.col("role_known").isNotNull(), F.col("tool_known").isNotNull()
+    named = F.coalesce("tool", F.lit("")) != ""
+    alone = [
         _issue(~known, "error", "unknown_role", F.coalesce("role", F.lit(""))),
-        _issue(named & F.col("tool_known").isNull(), "warning", "unknown_tool", F.col("tool")),
-        _issue(known & F.col("tool_known").isNotNull() & ~F.array_contains("tool_roles", F.col("role")), "warning", "tool_at_other_role", F.concat_ws(" at ", "tool", "role")),
+        _issue(named & ~tool_known, "warning", "unknown_tool", F.col("tool")),
+        _issue(known & tool_known & ~F.array_contains("tool_roles", F.col("role")), "warning", "tool_at_other_role", F.concat_ws(" at ", "tool", "role")),
         _issue(~named & (F.coalesce("tool_raw", F.lit("")) == ""), "warning", "unnamed_step", F.lit("no tool")),
-        _issue(F.col("step_id").isNotNull() & (F.col("nth") > 1), "error", "duplicate_step", F.col("step_id")),
         _issue((F.col("chain") == "observed") & (F.coalesce("evidence", F.lit(0)) == 0), "warning", "no_evidence", F.lit("observed without evidence")),
     ]
-    return _rows(seen, F.concat(F.col("chain"), F.lit("["), F.col("pos").cast("string"), F.lit("]")), checks)
-
-
-def reference_issues(steps: DataFrame) -> DataFrame:
-    """Dependencies and alternatives that name no step of the chain, name the step itself, or come no earlier in order.
-    The last of several steps with an id counts."""
-    targets = steps.groupBy(*CHAIN, F.col("step_id").alias("target")).agg(F.max_by("order", "pos").alias("target_order"))
-    refs = F.concat(
-        F.transform(F.coalesce("depends_on", F.array().cast("array<string>")), lambda x: F.struct(F.lit("depends_on").alias("kind"), x.alias("target"))),
-        F.when(F.col("alternative_of").isNotNull(), F.array(F.struct(F.lit("alternative_of").alias("kind"), F.col("alternative_of").alias("target")))).otherwise(F.array().cast("array<struct<kind:string,target:string>>")),
-    )
-    named = steps.select(*CHAIN, "pos", "step_id", "order", F.explode(refs).alias("r")).select("*", "r.*")
-    met = named.join(targets.withColumn("there", F.lit(True)), [*CHAIN, "target"], "left")
-    there, depends = F.col("there").isNotNull(), F.col("kind") == "depends_on"
-    checks = [
-        _issue(depends & ~there, "error", "unknown_dependency", F.col("target")),
-        _issue(depends & there & (F.col("target") == F.col("step_id")), "error", "self_dependency", F.col("target")),
-        _issue(~depends & ~there, "error", "unknown_alternative", F.col("target")),
-        _issue(depends & (F.col("target_order") >= F.col("order")), "error", "dependency_order", F.col("target")),
-    ]
-    return _rows(met, F.concat(F.col("chain"), F.lit("["), F.col("pos").cast("string"), F.lit("]")), checks)
+    seen = steps.join(role_dim, "role", "left").join(tool_dim, "tool", "left")
+    step = F.struct("pos", "step_id", "order", "depends_on", "alternative_of", F.array_compact(F.array(*alone)).alias("issues"))
+    chains = seen.groupBy(*CHAIN).agg(F.array_sort(F.collect_list(step), lambda x, y: F.when(x["pos"] < y["pos"], -1).when(x["pos"] > y["pos"], 1).otherwise(0)).alias("steps"))
+
+    none = F.array().cast("array<struct<severity: string, code: string, message: string>>")
+
+    def references(s: Column) -> Column:
+        def one(kind: str, target: Column) -> Column:
+            same = F.filter("steps", lambda x: x["step_id"] == target)
+            there, depends = F.size(same) > 0, F.lit(kind == "depends_on")
+            return F.array_compact(F.array(
+                _issue(depends & ~there, "error", "unknown_dependency", target), _issue(depends & there & (target == s["step_id"]), "error", "self_dependency", target),
+                _issue(~depends & ~there, "error", "unknown_alternative", target), _issue(depends & (F.try_element_at(same, F.lit(-1))["order"] >= s["order"]), "error", "dependency_order", target),
+            ))
+
+        named = F.flatten(F.transform(s["depends_on"], lambda t: one("depends_on", t)))
+        return F.concat(F.coalesce(named, none), F.when(s["alternative_of"].isNotNull(), one("alternative_of", s["alternative_of"])).otherwise(none))
+
+    def told(s: Column, i: Column) -> Column:
+        again = _issue(F.exists(F.slice("steps", F.lit(1), i), lambda x: x["step_id"] == s["step_id"]), "error", "duplicate_step", s["step_id"])
+        found = F.concat(s["issues"], F.array_compact(F.array(again)), references(s))
+        return F.transform(found, lambda x: F.struct(s["pos"].alias("pos"), x["severity"].alias("severity"), x["code"].alias("code"), x["message"].alias("message")))
+
+    rows = chains.select(*CHAIN, F.inline(F.flatten(F.transform("steps", told))))
+    where = F.concat(F.col("chain"), F.lit("["), F.col("pos").cast("string"), F.lit("]"))
+    return rows.select("rec_id", "severity", "code", where.alias("where"), F.substring("message", 1, 200).alias("message"))
 
 
 def record_issues(records: DataFrame, archetypes: DataFrame) -> DataFrame:
     """File name, archetype, provenance, divergence and tier."""
-    seen = records.join(F.broadcast(archetypes.select(F.col("id").alias("archetype"), F.lit(True).alias("known"))), "archetype", "left")
+    seen = records.join(dimension(archetypes.select(F.col("id").alias("archetype"), F.lit(True).alias("known"))), "archetype", "left")
     code, sources = F.coalesce("code", F.lit(0)) > 0, F.coalesce("sources", F.lit(0)) > 0
     checks = [
         _issue((F.col("stem") != F.col("rec_id").cast("string")) & ~F.col("stem").startswith("_"), "warning", "file_name", F.col("stem")),
@@ -87,13 +96,13 @@ def role_issues(records: DataFrame, steps: DataFrame, archetypes: DataFrame) ->
     wanted = F.concat(coded("required_roles", "missing_required_role"), coded("red_flag_missing", "missing_red_flag_role"))
     needs = archetypes.select(F.col("id").alias("archetype"), F.explode(wanted).alias("w")).select("archetype", "w.*")
     chain = records.select("rec_id", "archetype", F.when(F.col("observed"), "observed").otherwise("claimed").alias("chain"))
-    need = chain.join(F.broadcast(needs), "archetype")
+    need = chain.join(dimension(needs), "archetype")
     lacking = need.join(steps.select(*CHAIN, "role").distinct(), [*CHAIN, "role"], "left_anti")
     return lacking.select("rec_id", F.lit("warning").alias("severity"), "code", F.col("chain").alias("where"), F.col("role").alias("message"))
 
 
 def issues(records: DataFrame, steps: DataFrame, roles: DataFrame, tools: DataFrame, archetypes: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, [step_issues(steps, roles, tools), reference_issues(steps), record_issues(records, archetypes), role_issues(records, steps, archetypes)])
+    return reduce(DataFrame.unionByName, [chain_issues(steps, roles, tools), record_issues(records, archetypes), role_issues(records, steps, archetypes)])
 
 
 #: Orders that are disputed: a step of the first role (and, where given, of these tools) anywhere before one of the second.

@@ -88,6 +88,19 @@ def outcome(methods_chars: Column, steps: Column, floor: int = FLOOR) -> Column:
 
 
 def step_rows(records: DataFrame) -> DataFrame:
-    """Records with ``paper`` and ``chain`` structs to one row per step, cleaned for display."""
-    steps = records.select("run_ord", "rec_ord", F.col("paper.id").alias("id"), F.substring("paper.date", 1, 10).alias("date"), F.posexplode("chain.steps").alias("step_pos", "s"))
-    return steps.select("run_ord", "rec_ord", "id", "date", "step_pos", F.col("s.role").alias("role"), F.col("s.tool_raw").alias("tool_raw"), F.nullif(clean(F.col("s.tool_raw")), F.lit("")).alias("tool"), F.col("s.version").alias("version"), F.nullif(F.substring(clean(F.col("s.params")), 1, 200), F.lit("")).alias("params"))
+    """Records with ``paper`` and ``chain`` structs to one row per step, cleaned for display; the paper's part of it too."""
+    paper = [F.col("paper.id").alias("id"), clean(F.col("paper.title")).alias("title"), F.substring("paper.date", 1, 10).alias("date"), F.col("paper.doi").alias("doi"), F.col("chain.completeness").alias("completeness")]
+    steps = records.select("run_ord", "rec_ord", *paper, F.posexplode("chain.steps").alias("step_pos", "s"))
+    short = F.nullif(F.substring(clean(F.col("s.params")), 1, 200), F.lit(""))
+    return steps.select("run_ord", "rec_ord", "id", "title", "date", "doi", "completeness", "step_pos", F.col("s.role").alias("role"), F.col("s.tool_raw").alias("tool_raw"), F.nullif(clean(F.col("s.tool_raw")), F.lit("")).alias("tool"), F.col("s.version").alias("version"), short.alias("params"))
+
+
+def paper_steps(records: DataFrame, roles: DataFrame, tools: DataFrame, databases: DataFrame) -> DataFrame:
+    """``step_rows`` with the stage of each role and the tool and database that its name matches, looked up anew.
+
+    Matches stored in the records are never used. Names are matched once each; unknown roles are ``specialty``.
+    """
+    from .match import with_matches
+    from .survey import with_stage
+
+    return with_matches(with_stage(step_rows(records), roles).drop("substitutable"), tools, databases)

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.tables import written
+from ..functions.tables import dimension, written
 
 
 def archetypes_of(steps: DataFrame, archetypes: DataFrame) -> DataFrame:
     """``rec_id, archetype``: archetypes whose required roles a chain has all of; one without required roles needs an expected role."""
     roles = steps.groupBy("rec_id").agg(F.collect_set("role").alias("has"))
-    dim = F.broadcast(archetypes.select(F.col("id").alias("archetype"), *[F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in ("required_roles", "expected_roles")]))
+    dim = dimension(archetypes.select(F.col("id").alias("archetype"), *[F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in ("required_roles", "expected_roles")]))
     whole = (F.size("required_roles") > 0) & (F.size(F.array_except("required_roles", "has")) == 0)
     expected = (F.size("required_roles") == 0) & F.arrays_overlap("expected_roles", "has")
     return roles.join(dim, whole | expected).select("rec_id", "archetype")  # a dimension of archetypes

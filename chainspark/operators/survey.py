@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.tables import dimension
 from ..functions.text import period
 from .corpus import outcome
 
@@ -34,7 +35,7 @@ def role_counts(steps: DataFrame, *more: str) -> DataFrame:
 
 
 def with_stage(rows: DataFrame, roles: DataFrame) -> DataFrame:
-    dim = F.broadcast(roles.select(F.col("id").alias("role"), "stage", "substitutable"))
+    dim = dimension(roles.select(F.col("id").alias("role"), "stage", "substitutable"))
     stage = F.coalesce(F.when(F.col("stage").isin("acquire", "preprocess"), "reads").otherwise(F.col("stage")), F.lit("specialty"))
     return rows.join(dim, "role", "left").withColumn("stage", stage).withColumn("substitutable", F.coalesce("substitutable", F.lit(True)))
 
@@ -124,16 +125,31 @@ def role_share(drifts: DataFrame, role: str, *others: str) -> DataFrame:
 
 
 def role_precedence(steps: DataFrame) -> DataFrame:
-    """For ordered pairs of roles: chains with both, and chains in which all of a comes before all of b."""
+    """For ordered pairs of roles: chains with both, and chains in which all of a comes before all of b.
+
+    A chain has few roles, whatever its length: their first and last places are one row, and pairs come from it.
+    """
     span = steps.groupBy("paper", "role").agg(F.min("step_pos").alias("lo"), F.max("step_pos").alias("hi"))
-    a, b = (span.select("paper", *[F.col(c).alias(f"{x}_{c}") for c in ("role", "lo", "hi")]) for x in "ab")
-    pairs = a.join(b, "paper").where("a_role <> b_role")
-    return pairs.groupBy(F.col("a_role").alias("a"), F.col("b_role").alias("b")).agg(F.count(F.lit(1)).alias("chains"), F.count_if(F.col("a_hi") < F.col("b_lo")).alias("before"))
+    spans = span.groupBy("paper").agg(F.collect_list(F.struct("role", "lo", "hi")).alias("spans"))
+    one = spans.select("spans", F.explode("spans").alias("x"))
+    pairs = one.select("x", F.explode(F.filter("spans", lambda y: y["role"] != F.col("x.role"))).alias("y"))
+    return pairs.groupBy(F.col("x.role").alias("a"), F.col("y.role").alias("b")).agg(F.count(F.lit(1)).alias("chains"), F.count_if(F.col("x.hi") < F.col("y.lo")).alias("before"))
+
+
+def ranked_drift(steps: DataFrame, top_n: int = 10) -> DataFrame:
+    """The ``top_n`` most used tools of each role in each period: ``role, period, rank, key, n, share``; ties to the smaller key.
+
+    A row a tool, ranked in a window over counts, so a role of very many names is never one row or one list.
+    """
+    dated = steps if "period" in steps.columns else steps.withColumn("period", period(F.col("date")))
+    counts = role_counts(dated.where("period is not null and role <> 'custom'"), "period")
+    total = counts.groupBy("role", "period").agg(F.sum("n").alias("all"))  # roles x periods
+    return ranked_tools(counts, "role", "period", top_n=top_n).join(F.broadcast(total), ["role", "period"]).select("role", "period", "rank", "key", "n", (F.col("n") / F.col("all")).alias("share"))
 
 
 def hint_inversions(steps: DataFrame, roles: DataFrame) -> DataFrame:
     """Neighbouring steps of a chain whose order hint falls."""
-    dim = F.broadcast(roles.select(F.col("id").alias("role"), "order_hint"))
+    dim = dimension(roles.select(F.col("id").alias("role"), "order_hint"))
     order = W.partitionBy("paper").orderBy("step_pos")
     seen = steps.join(dim, "role").withColumn("prev_role", F.lag("role").over(order)).withColumn("prev_hint", F.lag("order_hint").over(order))
     return seen.where("order_hint < prev_hint").groupBy(F.col("prev_role"), "role").agg(F.count(F.lit(1)).alias("n"))

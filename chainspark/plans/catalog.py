@@ -38,7 +38,7 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def step_checks(spark, sf_dir):
     table = steps(spark, sf_dir)
-    found = catalog.step_issues(table, ontology.roles(spark), ontology.tools(spark)).unionByName(catalog.reference_issues(table))
+    found = catalog.chain_issues(table, ontology.roles(spark), ontology.tools(spark))
     return catalog.collapsed(found)
 
 
@@ -58,14 +58,18 @@ def chain_divergences(spark, sf_dir):
     return vetting.divergences(steps(spark, sf_dir))
 
 
-def expectation_results(spark, sf_dir):
-    """Claimed chains as repeated runs of three fixtures."""
+def assertion_rows(spark, sf_dir) -> DataFrame:
+    """Expectations of three fixtures on claimed chains as their repeated runs."""
     rows = steps(spark, sf_dir).where("chain = 'claimed'")
     struct = F.struct("pos", "role", F.col("tool").alias("tool_raw"), F.concat(F.lit("k = "), (F.col("pos") % 30).cast("string")).alias("params"), F.lit(None).cast("string").alias("database"))
     chains = rows.groupBy(F.col("rec_id").alias("run")).agg(F.array_sort(F.collect_list(struct)).alias("steps"))
     chains = chains.withColumn("fixture_id", F.concat(F.lit("f"), (F.col("run") % 3).cast("string"))).withColumn("completeness", _pick(["full", "partial", "none"], F.col("run") % 7 % 3))
     expect = spark.createDataFrame(EXPECT, "fixture_id string, kind string, arg string, arg2 string")
-    return evaluate.passed(evaluate.assertions(chains, expect))
+    return evaluate.assertions(chains, expect)
+
+
+def expectation_results(spark, sf_dir):
+    return evaluate.passed(assertion_rows(spark, sf_dir))
 
 
 def dataset_candidates(spark, sf_dir):

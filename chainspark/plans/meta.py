@@ -148,7 +148,7 @@ def rule_ladder(spark, sf_dir):
 def catalog_totals(spark, sf_dir):
     """Records, errors and warnings of all steps, and whether the catalog passes."""
     rows = steps(spark, sf_dir)
-    found = catalog.step_issues(rows, ontology.roles(spark), ontology.tools(spark)).unionByName(catalog.reference_issues(rows))
+    found = catalog.chain_issues(rows, ontology.roles(spark), ontology.tools(spark))
     return catalog.totals(found, table(spark, sf_dir, "orders"))
 
 

@@ -29,7 +29,7 @@ def test_queries_equal_sql(spark, name):
 STEPS = "rec_id string, chain string, pos int, step_id string, `order` int, depends_on array<string>, alternative_of string, role string, tool string, tool_raw string, evidence int"
 
 
-def test_step_issues(spark):
+def test_chain_issues(spark):
     rows = [
         ("r", "claimed", 0, "a", 1, ["a", "z"], None, "trim", "fastqc", None, 0),
         ("r", "claimed", 1, "a", 2, None, "q", "nope", None, "", None),
@@ -37,7 +37,7 @@ def test_step_issues(spark):
         ("e", "claimed", 0, None, None, None, None, None, None, None, None),
     ]
     steps = spark.createDataFrame(rows, STEPS)
-    found = catalog.step_issues(steps, ontology.roles(spark), ontology.tools(spark)).unionByName(catalog.reference_issues(steps))
+    found = catalog.chain_issues(steps, ontology.roles(spark), ontology.tools(spark))
     got = sorted((r.rec_id, r["where"], r.code) for r in found.collect())
     assert got == [
         ("e", "claimed[0]", "unknown_role"), ("e", "claimed[0]", "unnamed_step"), ("r", "claimed[0]", "dependency_order"), ("r", "claimed[0]", "self_dependency"),
