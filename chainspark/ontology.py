@@ -7,20 +7,57 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Role, stage and order hint of the step ontology.
-ROLES = """
-retrieve acquire 0; demultiplex acquire 5; basecall acquire 3; qc_raw acquire 10; trim preprocess 20; remove_primers preprocess 22;
-filter_host preprocess 30; merge_reads preprocess 35; subsample preprocess 38; error_correct preprocess 40; dereplicate amplicon 45;
-denoise amplicon 50; cluster_otu amplicon 50; chimera_removal amplicon 55; filter_features amplicon 60; decontaminate amplicon 62;
-assemble assembly 70; polish assembly 75; map_reads assembly 80; bin assembly 85; bin_refine assembly 90; bin_qc assembly 95;
-dereplicate_genomes assembly 100; scaffold assembly 92; profile_taxonomic reference 65; profile_functional reference 68;
-taxonomy_assign reference 105; classify_genomes reference 110; predict_genes annotate 115; annotate_function annotate 120;
-build_gene_catalog annotate 118; quantify annotate 125; phylogeny annotate 130; normalize ecology 135; diversity ecology 140;
-ordination ecology 145; differential_abundance ecology 150; correlate ecology 155; model ecology 158; detect_mge specialty 160;
-detect_amr specialty 162; detect_bgc specialty 164; strain_resolve specialty 166; call_variants specialty 168; pangenome specialty 170;
-visualize deliver 180; report deliver 190; custom specialty 175
-"""
-NOT_SUBSTITUTABLE = {"remove_primers", "decontaminate", "normalize", "differential_abundance", "custom"}
+# Role, stage, order hint, and whether tools may be swapped freely.
+ROLES = [
+    ("retrieve", "acquire", 0, True),
+    ("demultiplex", "acquire", 5, True),
+    ("basecall", "acquire", 3, True),
+    ("qc_raw", "acquire", 10, True),
+    ("trim", "preprocess", 20, True),
+    ("remove_primers", "preprocess", 22, False),
+    ("filter_host", "preprocess", 30, True),
+    ("merge_reads", "preprocess", 35, True),
+    ("subsample", "preprocess", 38, True),
+    ("error_correct", "preprocess", 40, True),
+    ("dereplicate", "amplicon", 45, True),
+    ("denoise", "amplicon", 50, True),
+    ("cluster_otu", "amplicon", 50, True),
+    ("chimera_removal", "amplicon", 55, True),
+    ("filter_features", "amplicon", 60, True),
+    ("decontaminate", "amplicon", 62, False),
+    ("assemble", "assembly", 70, True),
+    ("polish", "assembly", 75, True),
+    ("map_reads", "assembly", 80, True),
+    ("bin", "assembly", 85, True),
+    ("bin_refine", "assembly", 90, True),
+    ("bin_qc", "assembly", 95, True),
+    ("dereplicate_genomes", "assembly", 100, True),
+    ("scaffold", "assembly", 92, True),
+    ("profile_taxonomic", "reference", 65, True),
+    ("profile_functional", "reference", 68, True),
+    ("taxonomy_assign", "reference", 105, True),
+    ("classify_genomes", "reference", 110, True),
+    ("predict_genes", "annotate", 115, True),
+    ("annotate_function", "annotate", 120, True),
+    ("build_gene_catalog", "annotate", 118, True),
+    ("quantify", "annotate", 125, True),
+    ("phylogeny", "annotate", 130, True),
+    ("normalize", "ecology", 135, False),
+    ("diversity", "ecology", 140, True),
+    ("ordination", "ecology", 145, True),
+    ("differential_abundance", "ecology", 150, False),
+    ("correlate", "ecology", 155, True),
+    ("model", "ecology", 158, True),
+    ("detect_mge", "specialty", 160, True),
+    ("detect_amr", "specialty", 162, True),
+    ("detect_bgc", "specialty", 164, True),
+    ("strain_resolve", "specialty", 166, True),
+    ("call_variants", "specialty", 168, True),
+    ("pangenome", "specialty", 170, True),
+    ("visualize", "deliver", 180, True),
+    ("report", "deliver", 190, True),
+    ("custom", "specialty", 175, False),
+]
 STAGE_ORDER = ["reads", "amplicon", "assembly", "reference", "annotate", "ecology", "specialty", "deliver"]
 
 TOOLS = [
@@ -37,8 +74,7 @@ DATABASES = [("silva", "SILVA", ["silva ssu"]), ("gtdb", "GTDB", ["gtdb release"
 
 
 def role_rows() -> list[tuple]:
-    rows = [r.split() for r in ROLES.replace("\n", " ").split(";")]
-    return [(i, role, stage, int(hint), role not in NOT_SUBSTITUTABLE) for i, (role, stage, hint) in enumerate(rows)]
+    return [(i, *row) for i, row in enumerate(ROLES)]
 
 
 def roles(spark: SparkSession) -> DataFrame:

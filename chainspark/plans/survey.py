@@ -43,7 +43,8 @@ def period_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def role_consensus(spark, sf_dir):
-    return survey.consensus(matched_counts(spark, lines(spark, sf_dir), "role"), ontology.roles(spark))
+    """The leading tool of each role and its hundred most used ones; more names than that stay out of a row."""
+    return survey.consensus(matched_counts(spark, lines(spark, sf_dir), "role"), ontology.roles(spark), top_n=100)
 
 
 def tool_drift(spark, sf_dir):
