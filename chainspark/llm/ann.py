@@ -17,7 +17,7 @@ from .common import read
 from .vectors import best, matrix, merged, usable, width_of
 
 TABLES, PROBES = 10, 8
-#: Queries of one bucket are dealt over parts of about QUERIES, its rows over parts of about ROWS.
+#: Queries of a larger bucket are dealt over parts of about QUERIES, its rows over parts of about ROWS.
 QUERIES, ROWS, GROUP = 8192, 65536, 256
 SCHEMA = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
@@ -111,19 +111,23 @@ def nearest(embeddings: DataFrame, every: int = 50, k: int = 5, tables: int = TA
     """
     length = F.aggregate("v", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x)))
     rows = usable(embeddings).where(length > 0)
-    n = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("q"), F.max(F.size("v")).alias("width")).first()  # three numbers
+    n = rows.agg(F.max(F.size("v")).alias("width")).first()  # one number
     dealt = rows.mapInArrow(hashed(seed, tables, probes, every, n.width or 1), "t int, bucket int, is_query boolean, vec_id bigint, v array<double>")
-    # All buckets of a table together hold each row once; a hot bucket (equal vectors) is dealt over parts as well.
-    q_parts, r_parts = max(1, -(-(n.q or 0) // QUERIES)), max(1, -(-n.n // ROWS))
-    q_part = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(q_parts)).cast("int")
-    r_part = F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(r_parts)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    queries = dealt.where("is_query").select("t", "bucket", q_part.alias("qp"), each(r_parts).alias("rp"), "is_query", "vec_id", "v")
-    candidates = dealt.where("not is_query").select("t", "bucket", each(q_parts).alias("qp"), r_part.alias("rp"), "is_query", "vec_id", "v")
+    sizes = dealt.groupBy("t", "bucket").agg(F.count_if("is_query").alias("q"), F.count_if(~F.col("is_query")).alias("r")).where((F.col("q") > QUERIES) | (F.col("r") > ROWS))
+    # Only buckets that are larger than a part are dealt over parts: at most tables x 2 x width rows come to the driver.
+    large = [(x.t, x.bucket, -(-x.q // QUERIES) or 1, -(-x.r // ROWS) or 1) for x in sizes.collect()]
+    parts = embeddings.sparkSession.createDataFrame(large, "t int, bucket int, q_parts int, r_parts int")
+    one = lambda c: F.coalesce(c, F.lit(1)).alias(c)
+    dealt = dealt.join(F.broadcast(parts), ["t", "bucket"], "left").select(*dealt.columns, one("q_parts"), one("r_parts"))
+    own = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    queries = dealt.where("is_query").select("t", "bucket", own(F.col("q_parts"), 1).alias("qp"), each(F.col("r_parts")).alias("rp"), "is_query", "vec_id", "v")
+    candidates = dealt.where("not is_query").select("t", "bucket", each(F.col("q_parts")).alias("qp"), own(F.col("r_parts"), 2).alias("rp"), "is_query", "vec_id", "v")
     groups = queries.unionByName(candidates).groupBy("t", "bucket", "qp", "rp")
     found = groups.applyInArrow(bucket_top(k), "query_id bigint, vec_id bigint, score double")
     return merged(found.distinct(), k)
 
 
 def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours in all ``embeddings``; which vectors take part, ties and repeated ids: see ``nearest``. An empty table gives no rows."""
     return nearest(read(spark, sf_dir, "embeddings"))

@@ -344,4 +344,5 @@ def public_file(name: str = "byte_bpe_50k.json") -> str:
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all ``documents``: null and empty texts have no tokens; rows are encoded one by one, so repeats agree."""
     return digests(read(spark, sf_dir, "documents"), public_file())

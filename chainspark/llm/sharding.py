@@ -86,6 +86,8 @@ def shard_rows(rows: DataFrame, n_shards: int = 8, seed: int = 7) -> DataFrame:
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards of all ``documents`` under the law of equal counts: null and empty texts have size 1 and crc 0; equal and
+    repeated rows are rows of their own; an empty table gives no rows."""
     text = F.coalesce("text", F.lit(""))
     rows = read(spark, sf_dir, "documents").select(
         "doc_id", (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32")

@@ -132,6 +132,8 @@ def kept_bytes(rows: DataFrame, cover: DataFrame, result, schema: str) -> DataFr
 
 
 def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents``: null and empty texts have no bytes and nothing removed; equal rows are documents of their own, which
+    remove each other; a missing id is a value like others."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     rows = docs.select("doc_id", *[identified_column(docs, c) for c in ("did", "rid", "text")])
 

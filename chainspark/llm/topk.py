@@ -93,4 +93,6 @@ def top_inner_products(embeddings: DataFrame, every: int = 20, k: int = 20, scal
 
 
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best inner products in all ``embeddings``; ties go to the smaller id, vectors that are null or hold null or non-finite
+    components take no part, and an empty table gives no rows."""
     return top_inner_products(read(spark, sf_dir, "embeddings"))

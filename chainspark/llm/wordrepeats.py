@@ -106,6 +106,8 @@ def identified_column(docs: DataFrame, name: str):
 
 
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents``: null and empty texts have no words; rows of equal id and text are one document, a missing id is the
+    smallest, so its windows come first."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     rows = docs.select("doc_id", *[identified_column(docs, c) for c in ("did", "rid", "text")])
 

@@ -377,3 +377,35 @@ def test_brown_scores_do_not_depend_on_partitions(spark):
     for k, t in tokens.items():
         base = sum(np.log10((counts[w] + 0.5) / (total + 0.5 * (kinds + 1))) for w in t)
         assert (first[k].n_tokens, first[k].n_known) == (len(t), sum(counts[w] > 0 for w in t)) and abs(first[k].base_score - base) < 1e-9 * max(1, abs(base))
+
+
+def test_ties_of_both_searches(spark, monkeypatch):
+    """Equal vectors, in buckets that are dealt over parts: the smaller ids come first."""
+    monkeypatch.setattr(ann, "ROWS", 40)
+    monkeypatch.setattr(ann, "QUERIES", 2)
+    rows = [(i, [1.0, 2.0, 0.5] if i % 2 else [1.0, 2.0, 0.25]) for i in range(400)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    got = {}
+    for r in ann.nearest(table).collect():
+        got.setdefault(r.query_id, {})[r.rank] = r.vec_id
+    assert got == {q: dict(enumerate([i for i in range(0, 400, 2) if i != q][:5], 1)) for q in range(0, 400, 50)}
+    best = {}
+    for r in topk.top_inner_products(table).collect():
+        best.setdefault(r.query_id, {})[r.rank] = r.vec_id
+    # floor(64 x) of the third component is larger in odd rows, and so is their product with any query
+    assert best == {q: dict(enumerate([i for i in range(1, 400, 2)][:20], 1)) for q in range(0, 400, 20)}
+
+
+def test_very_long_texts(spark):
+    """One text of 120,000 words and a short one with a passage of it."""
+    rng = np.random.default_rng(12)
+    words = [f"x{v}" for v in rng.integers(0, 50_000, 120_000)]
+    passage = " ".join(words[70_000:70_100])
+    rows = [(1, " ".join(words), "en", "a", 0, "r", "k"), (2, "before it " + passage, "en", "a", 0, "r", "k")]
+    table = spark.createDataFrame(rows, SCHEMA)
+    assert {r.doc_id: r.text for r in wordrepeats.without_repeats(table).collect()}[2] == "before it"
+    cover = {r.did: (min(s.s for s in r.cover), max(s.e for s in r.cover)) for r in suffixes.repeated_bytes(table).collect()}
+    start = len(" ".join(words[:70_000])) + 1
+    assert cover[2][1] == len(rows[1][1]) and cover[1][0] in (start - 1, start) and cover[1][1] - cover[1][0] == cover[2][1] - cover[2][0]
+    tokens = bpe.encode_documents(table, bpe.public_file(), decoded="text")
+    assert {r.doc_id: r.text for r in tokens.collect()} == {r[0]: r[1] for r in rows}
