@@ -86,13 +86,13 @@ def substitution_classes(counts: DataFrame, roles: DataFrame) -> DataFrame:
 
 
 def coverage_cells(records: DataFrame, axes: dict[str, list[str]]) -> DataFrame:
-    """Every cell of the axes with ``records``, the number of records that cover it. ``records``: ``rec_id`` and an array
-    for each axis; an empty one, or ``ANY``, covers all values.
+    """Every cell of the axes with ``records``, the number of records that cover it (1 where records have no ``rec_id``).
+    ``records`` have an array for each axis; an empty one, or ``ANY``, covers all values.
 
     The axes are closed lists of some dozens of values, and so is their grid.
     """
     grid = records.sparkSession.range(1).select()
-    covered = records.select("rec_id", *axes)
+    covered = records.select((F.col("rec_id") if "rec_id" in records.columns else F.lit(0)).alias("rec_id"), *axes)
     for name, values in axes.items():
         every = F.array(*map(F.lit, values))
         grid = grid.withColumn(name, F.explode(every))
