@@ -88,6 +88,13 @@ def record_issues(records: DataFrame, archetypes: DataFrame) -> DataFrame:
     return _rows(seen, F.lit("record"), checks)
 
 
+def effective_chain(observed: Column, claimed: Column) -> Column:
+    """The observed chain (a struct), else the claimed one, else null. A struct without any field counts as none; an observed
+    chain without steps is a chain, and wins."""
+    filled = lambda chain: F.when(F.to_json(chain) != "{}", chain)
+    return F.coalesce(filled(observed), filled(claimed))
+
+
 def role_issues(records: DataFrame, steps: DataFrame, archetypes: DataFrame) -> DataFrame:
     """Required and red-flag roles of the archetype that the effective chain (observed, else claimed) lacks."""
     def coded(column: str, code: str) -> Column:

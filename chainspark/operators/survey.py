@@ -87,6 +87,17 @@ def unmatched(steps: DataFrame) -> DataFrame:
     return steps.where("tool is not null and matched is null and matched_db is null").select("tool").distinct().orderBy(F.lower("tool"), "tool")
 
 
+def custom_uses(steps: DataFrame, roles: DataFrame) -> DataFrame:
+    """What ``custom`` steps are called and where they stand: ``key, before, after, n``, with the stages of the steps next to them
+    (null at the ends of a chain). Those of many uses are candidates for a role of their own.
+
+    ``steps``: single steps with ``paper, step_pos, role, tool, matched``. Unnamed ones have a null key.
+    """
+    order = W.partitionBy("paper").orderBy("step_pos")  # the steps of one paper
+    placed = with_stage(keyed(steps), roles).withColumns({"before": F.lag("stage").over(order), "after": F.lead("stage").over(order)})
+    return placed.where("role = 'custom'").groupBy("key", "before", "after").agg(F.count(F.lit(1)).alias("n"))
+
+
 def summary(steps: DataFrame) -> DataFrame:
     """One row about all steps. ``steps`` are single steps, or counts of them by ``paper`` and ``role`` among others."""
     n = weight(steps)

@@ -70,6 +70,12 @@ def leading_tools(spark, sf_dir):
     return meta.leading_periods(survey.drift(surveys.period_counts(spark, sf_dir)))
 
 
+def custom_uses(spark, sf_dir):
+    """Custom steps by name and by the stages around them."""
+    rows = surveys.named(surveys.lines(spark, sf_dir)).withColumn("matched", F.lit(None).cast("string"))
+    return survey.custom_uses(rows, ontology.roles(spark))
+
+
 def records(spark, sf_dir) -> DataFrame:
     """Orders as records of runs: nested papers and chains, with markup in titles and names."""
     line = F.struct(F.col("l_linenumber").alias("order"), pick([*ROLE_IDS[:47], "no_such_role"], F.col("l_partkey") % 48).alias("role"), F.concat(F.lit("<i>"), pick(surveys.NAMES, (F.col("l_suppkey") * 7 + F.col("l_partkey")) % len(surveys.NAMES)), F.lit("</i> ")).alias("tool_raw"),
@@ -94,7 +100,7 @@ def longest_chains(spark, sf_dir):
     return survey.by_step_count(rows).limit(50).select("run_ord", "rec_ord", "n_steps")
 
 
-QUERIES = {f.__name__: f for f in (repository_scores, unspecified_databases, failing_expectations, step_quality, record_tools, denoising_share, tool_ranks, leading_tools, paper_steps, longest_chains)}
+QUERIES = {f.__name__: f for f in (repository_scores, unspecified_databases, failing_expectations, step_quality, record_tools, denoising_share, tool_ranks, leading_tools, custom_uses, paper_steps, longest_chains)}
 
 
 def _sql() -> dict[str, str]:
@@ -128,6 +134,9 @@ SELECT period, share, count(DISTINCT s) OVER (ORDER BY period) <= 1 AS monotonic
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY role, period ORDER BY n DESC, key) AS INT) AS rank, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY role, period) AS share FROM c)
 SELECT role, period, rank, key, n, share FROM r WHERE rank <= 3""",
         "leading_tools": whole + "\nSELECT role, top.k AS top, min(period) AS first, max(period) AS last, count(*) AS periods FROM full_grid WHERE top IS NOT NULL GROUP BY role, top.k",
+        "custom_uses": whole + f""", s AS (SELECT paper, step_pos, steps.role AS role, lower(tool_raw) AS key, {stage} AS stage FROM steps LEFT JOIN role_dim USING (role)),
+p AS (SELECT *, lag(stage) OVER w AS before, lead(stage) OVER w AS after FROM s WINDOW w AS (PARTITION BY paper ORDER BY step_pos))
+SELECT key, before, after, count(*) AS n FROM p WHERE role = 'custom' GROUP BY ALL""",
         "paper_steps": whole + f""",
 e AS (SELECT l_orderkey AS key, strftime(o_orderdate, '%Y-%m-%d') AS date, CASE WHEN l_partkey % 48 = 47 THEN 'no_such_role' ELSE r[CAST(l_partkey % 48 AS INT) + 1] END AS role, {name("")} AS tool, CASE WHEN l_quantity >= 15 THEN '1.0' END AS version,
   CASE WHEN l_partkey % 2 = 0 THEN rtrim('k = ' || rtrim(repeat('9 ', CAST(l_partkey % 150 AS INT)))) END AS params FROM lineitem JOIN orders ON l_orderkey = o_orderkey, names)

@@ -96,3 +96,10 @@ def test_archetypes_and_stale(spark):
     assert sorted(tuple(r) for r in meta.archetypes_of(steps, dim).collect()) == [("q", "b"), ("r", "a")]
     judged = spark.createDataFrame([(1, "m", "v1"), (2, "m", None), (3, "n", "v1")], "id int, model string, prompt_version string")
     assert [r.id for r in meta.stale(judged, "m", "v1").collect()] == [2, 3]
+
+
+def test_effective_chain(spark):
+    chain = "struct<completeness: string, steps: array<string>>"
+    rows = [(None, ("c", ["x"])), ((None, None), ("c", None)), ((None, []), ("c", ["x"])), (("o", None), None), (None, (None, None))]
+    got = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"i int, o {chain}, c {chain}").orderBy("i").select(catalog.effective_chain(F.col("o"), F.col("c")).alias("e")).collect()
+    assert [r.e and tuple(r.e) for r in got] == [("c", ["x"]), ("c", None), (None, []), ("o", None), None]
