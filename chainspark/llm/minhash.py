@@ -271,7 +271,7 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Classes of all ``documents``: null and empty texts, and those of fewer than five words, are near equal texts only; a missing
-    id counts as the smallest; equal rows have one class."""
+    """Classes of all ``documents``; nulls, texts without words and repeated rows: see ``near_classes``. ``kept`` is null for
+    a row without id."""
     classes = near_classes(read(spark, sf_dir, "documents"))
     return classes.select(F.col("did").alias("doc_id"), "class_id", (F.col("did") == F.col("class_id")).alias("kept"))

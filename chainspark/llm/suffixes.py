@@ -118,7 +118,8 @@ def repeated_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, larg
 
 
 def kept_bytes(rows: DataFrame, cover: DataFrame, result, schema: str) -> DataFrame:
-    """``doc_id`` and ``result(bytes, removed)`` of each text."""
+    """``doc_id`` and ``result(bytes, removed)`` of each text; null texts have no bytes, rows without spans lose none, repeated rows
+    each get their own result."""
 
     def run(batches):
         for batch in batches:

@@ -67,7 +67,9 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, larg
 
 
 def kept_words(docs: DataFrame, cover: DataFrame, result, schema: str) -> DataFrame:
-    """``docs`` (with did, rid, text and more) with ``result(text, words, removed)`` of each text in place of the text."""
+    """``docs`` (with did, rid, text and more) with ``result(text, words, removed)`` of each text in place of the text. Null texts
+    have no words; repeated rows each get their own result; columns named like a result must not be among ``docs``
+    (``without_repeats`` packs them away)."""
     joined = docs.join(cover, ["did", "rid"], "left")
     kept = [c for c in docs.columns if c not in ("did", "rid", "text")]
     extra = [x.split()[0] for x in schema.split(", ")]
