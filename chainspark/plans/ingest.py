@@ -80,6 +80,19 @@ def paper_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return papers.select("id", "doi", "title", "date", "journal", "pmcid", chars("xml").alias("xml_chars"), chars("methods").alias("methods_chars"), F.md5("methods").alias("digest"), chars("trimmed").alias("trimmed_chars"))
 
 
+def first_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The forty newest papers, then by id."""
+    papers = corpus.papers_of(hits(spark, sf_dir))
+    return extract.numbered(papers, [F.desc("date"), F.col("id").cast("bigint")], 40).select("id", "date", "journal")
+
+
+def wanted_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Papers that customers ask for by id, and the ids that no paper has."""
+    asked = table(spark, sf_dir, "customer").select((F.col("c_custkey") * 3 % 1000).cast("string").alias("id"))
+    found, missing = extract.look_up_papers(corpus.papers_of(hits(spark, sf_dir)), asked)
+    return found.select("id", F.lit(True).alias("found")).unionByName(missing.select("id", F.lit(False).alias("found")))
+
+
 def ingest_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far the papers came, by journal; every fourth answer is missing."""
     papers = papers_with_methods(spark, sf_dir)
@@ -146,7 +159,7 @@ def paper_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("source", label.alias("label")).groupBy("source", "label").agg(F.count(F.lit(1)).alias("papers"))
 
 
-QUERIES = {f.__name__: f for f in (split_names, page_prose, paper_methods, ingest_funnel, pending_requests, response_outcomes, prompt_rows, batch_counts, paper_labels)}
+QUERIES = {f.__name__: f for f in (split_names, page_prose, paper_methods, first_papers, wanted_papers, ingest_funnel, pending_requests, response_outcomes, prompt_rows, batch_counts, paper_labels)}
 
 
 def _sql() -> dict[str, str]:
@@ -203,6 +216,12 @@ SELECT id, doi, title, date, journal, pmcid, xml_chars, length(methods) AS metho
         "ingest_funnel": papers + """
 SELECT journal, CASE WHEN coalesce(xml_chars, 0) = 0 THEN 'no_full_text' WHEN methods IS NULL THEN 'no_methods' WHEN n % 4 = 0 THEN 'failed' ELSE 'yielded' END AS stage,
   count(*) AS papers, CAST(sum(n % 9) AS BIGINT) AS steps, CASE WHEN sum(n % 9) > 0 THEN CAST(sum(n % 3) AS DOUBLE) / CAST(sum(n % 9) AS DOUBLE) END AS match_rate, CAST(sum(n % 6) AS DOUBLE) AS seconds FROM t GROUP BY ALL""",
+        "first_papers": """
+SELECT CAST(page_id AS VARCHAR) AS id, CASE WHEN page_id % 3 > 0 THEN '2019-05-01' WHEN page_id % 2 > 0 THEN '2018' ELSE '2020' END AS date, CASE WHEN page_id % 4 > 0 THEN 'J' WHEN page_id % 8 > 0 THEN 'P' ELSE 'preprint' END AS journal
+FROM pages ORDER BY date DESC, page_id LIMIT 40""",
+        "wanted_papers": """
+WITH a AS (SELECT DISTINCT c_custkey * 3 % 1000 AS n FROM customer)
+SELECT CAST(n AS VARCHAR) AS id, page_id IS NOT NULL AS found FROM a LEFT JOIN pages ON page_id = n""",
         "pending_requests": f"""
 SELECT {key("c_custkey")} AS cache_key, length({request("c_custkey")}) AS chars FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 3 = 0)""",
         "response_outcomes": f"""
