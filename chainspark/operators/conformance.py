@@ -1,15 +1,21 @@
 """Form of catalog records and of the ontology: one table of rules, applied to every value of every raw document.
 
-A document is a variant. Its values become rows (path, pattern, type) inside the row of the document, level by level;
-rules ``pattern, kind, arg`` meet them in one broadcast join, and each kind is a predicate on columns. Nothing shuffles but
-the choice among the failures of a branch.
+Rules are ``pattern, kind, arg``. Nearly all values of a record are right, so each document is walked once by a plain look
+(``Place``), which passes by what surely breaks no rule and names the places of all else. What stands there is judged
+by columns, inside the row of the document: a value is a variant, and each kind of rule is a predicate. Nothing shuffles.
 """
 
 from __future__ import annotations
 
+import json
+import math
+import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from functools import reduce
+from itertools import accumulate
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -120,43 +126,14 @@ def rules_of(form: dict[str, str] = RECORD) -> list[tuple[str, str, str]]:
 def type_of(v: Column) -> Column:
     """JSON type of a variant; a number without fraction is an ``integer``, however it is written."""
     name = F.schema_of_variant(v)
+    is_object, is_array = (F.try_variant_get(v, "$", kind).isNotNull() for kind in ("map<string,variant>", "array<variant>"))  # without what is inside
     whole = F.try_variant_get(v, "$", "double") == F.floor(F.try_variant_get(v, "$", "double"))
     return (
-        F.when(name.startswith("OBJECT"), "object").when(name.startswith("ARRAY"), "array").when(name == "STRING", "string").when(name == "BOOLEAN", "boolean").when(name == "VOID", "null")
+        F.when(is_object, "object").when(is_array, "array").when(name == "STRING", "string").when(name == "BOOLEAN", "boolean").when(name == "VOID", "null")
         .when(name.endswith("INT") | whole, "integer").otherwise("number")
     )
 
 
-def values_of(documents: DataFrame, rules: list[tuple[str, str, str]], raw: str = "raw") -> DataFrame:
-    """``rec_id, path, pattern, depth, v``: every value of each document that a rule can speak of, itself included.
-
-    Only places that have rules below them are opened, so what a document holds elsewhere costs nothing.
-    """
-    patterns = {p for p, _, _ in rules}
-    inner = sorted({p.rpartition("/")[0] for p in patterns if p})
-    array = lambda xs: F.array(*map(F.lit, xs)) if xs else F.array().cast("array<string>")
-    open_maps = sorted(p[:-2] for p, kind, arg in rules if p.endswith("/*") and (p[:-2], "type", "object") in rules)
-    rooted = lambda path, step: F.when(path == "", step).otherwise(F.concat(path, F.lit("/"), step))
-
-    def node(path: Column, pattern: Column, depth: Column, v: Column) -> Column:
-        return F.struct(path.alias("path"), pattern.alias("pattern"), depth.alias("depth"), v.alias("v"))
-
-    def below(n: Column) -> Column:
-        entries = F.map_entries(F.try_variant_get(n["v"], "$", "map<string,variant>"))
-        step = lambda e: F.when(F.array_contains(array(open_maps), n["pattern"]), "*").otherwise(e["key"])
-        keyed = F.transform(entries, lambda e: node(rooted(n["path"], e["key"]), rooted(n["pattern"], step(e)), n["depth"] + 1, e["value"]))
-        items = F.transform(F.try_variant_get(n["v"], "$", "array<variant>"), lambda v, i: node(rooted(n["path"], i.cast("string")), rooted(n["pattern"], F.lit("*")), n["depth"] + 1, v))
-        return F.coalesce(keyed, items, F.array().cast("array<struct<path: string, pattern: string, depth: int, v: variant>>"))
-
-    depth = max(p.count("/") + 1 for p in patterns)
-    rows = documents.select("rec_id", F.try_parse_json(raw).alias("v")).where("v is not null")
-    rows = rows.select("rec_id", F.array(node(F.lit(""), F.lit(""), F.lit(0), F.col("v"))).alias("level_0"))
-    for level in range(depth):
-        opened = F.filter(f"level_{level}", lambda n: F.array_contains(array(inner), n["pattern"]))
-        rows = rows.withColumn(f"level_{level + 1}", F.flatten(F.transform(opened, below)))
-    return rows.select("rec_id", F.inline(F.concat(*[f"level_{k}" for k in range(depth + 1)])))
-
-
 #: Kinds of rules, in the order in which failures of one value count.
 KINDS = ("type", "enum", "const", "pattern", "max_length", "minimum", "min_items", "required", "closed")
 
@@ -169,27 +146,148 @@ def by_pattern(rules: list[tuple[str, str, str]]) -> list[tuple]:
     return [(pattern, *(own.get(k) for k in KINDS)) for pattern, own in table.items()]
 
 
-def failures(documents: DataFrame, rules: list[tuple[str, str, str]] | None = None, raw: str = "raw") -> DataFrame:
-    """``rec_id, path, depth, rank, kind, message`` of every broken rule. ``documents``: ``rec_id`` and the raw JSON text.
+JSON = json.JSONDecoder()
+#: What surely matches a pattern, in Python's terms; up to EXACT, doubles tell whole numbers apart.
+SURE, EXACT = {SLUG: re.compile("[a-z0-9]+(?:-[a-z0-9]+)*")}, 2**53
+#: Python's types of the JSON types of scalars; a float may still be whole.
+SCALARS = {"string": str, "boolean": bool, "null": type(None), "integer": int, "number": float}
+
+
+@dataclass(slots=True)
+class Place:
+    """What surely breaks no rule of a pattern, and the places below it. Where this leaves a doubt, columns decide."""
+
+    rule: int = -1  # number of the pattern's rules
+    easy: frozenset = frozenset(SCALARS.values())  # types of scalars
+    texts: frozenset = frozenset()
+    form: re.Pattern | None = None  # of whole texts
+    longest: int = -1  # characters of a text
+    least: float = math.inf  # of whole numbers
+    fewest: float = 0  # items of an array
+    required: frozenset | None = frozenset()  # keys of an object; None: it may be wrong as such
+    closed: frozenset | None = None  # None: any keys
+    keys: dict[str, Place] = field(default_factory=dict)
+    items: Place | None = None
+    others: Place | None = None  # of keys that are not named
+
+    def learn(self, rule: int, own: dict[str, list[str] | None]) -> None:
+        named = [frozenset(own[k][: 1 if k == "const" else None]) for k in ("enum", "const") if own[k]]
+        types = set(own["type"] or [*SCALARS, "object", "array"]) & ({"string"} if named else {*SCALARS, "object", "array"})
+        easy = {t for name, t in SCALARS.items() if name in types and t is not int}
+        if "number" in types:
+            easy.add(int)
+        if "number" in types or "integer" in types:
+            self.least = float(own["minimum"][0]) if own["minimum"] else -math.inf
+        if own["minimum"]:
+            easy -= {int, float}
+        if "string" in types and (limits := [k for k in ("pattern", "max_length") if own[k]] + named):
+            easy.remove(str)
+            if limits == named:
+                self.texts = frozenset.intersection(*named)
+            elif limits == ["max_length"]:
+                self.longest = int(own["max_length"][0])
+            elif limits == ["pattern"]:
+                self.form = SURE.get(own["pattern"][0])
+        self.rule, self.easy = rule, frozenset(easy)
+        self.fewest = int((own["min_items"] or [0])[0]) if "array" in types else math.inf
+        self.required = frozenset(own["required"] or ()) if "object" in types else None
+        self.closed = None if own["closed"] is None else frozenset(own["closed"])
+
+    def is_right(self, v: str | float | bool | None) -> bool:
+        if type(v) is str:
+            return v in self.texts or len(v) <= self.longest or (self.form is not None and self.form.fullmatch(v) is not None)
+        return type(v) in (int, float) and self.least <= v and abs(v) <= EXACT and v == int(v)
 
-    A rule speaks only of values of its type: a text is not too short an array. Text that is no JSON gives no rows here
-    (``sources.files.read_documents`` reports it). Each value meets one row of rules and gives an array of failures.
+    def look(self, v: dict | list, at: tuple | None, found: list[tuple]) -> None:
+        """Adds ``rule, at`` of each value, from ``v`` down, that may break a rule. ``at``: the way to ``v``, its last step apart from those before."""
+        if type(v) is dict:
+            right = self.required is not None and self.required <= v.keys() and (self.closed is None or v.keys() <= self.closed)
+            inner, keys, others = v.items(), self.keys, self.others
+        else:
+            right, inner, keys, others = len(v) >= self.fewest, enumerate(v), {}, self.items
+        if not right:
+            found.append((self.rule, at))
+        for step, x in inner:
+            place = keys.get(step, others)
+            if place is None or (kind := type(x)) in place.easy:
+                continue
+            if kind is dict or kind is list:
+                place.look(x, (at, step), found)
+            elif not place.is_right(x):
+                found.append((place.rule, (at, step)))
+
+    def suspects(self, text: bytes) -> list[tuple[int, list[str]]] | None:
+        """``rule, steps`` of the values of a JSON text that may break a rule; None if Python can't read it."""
+        found: list[tuple] = []
+        try:
+            v = JSON.raw_decode(text.decode("utf-8", "replace").lstrip(" \t\n\r"))[0]
+        except (ValueError, RecursionError):
+            return None
+        Place(items=self).look([v], None, found)
+        return [(rule, _steps(at)) for rule, at in found]
+
+
+def _steps(at: tuple | None) -> list[str]:
+    """The steps of ``at`` as Spark has them, but for the first, which leads to the document."""
+    steps: list[str] = []
+    while at is not None:
+        at, step = at
+        steps.append(str(step).encode("utf-8", "replace").decode())
+    return steps[-2::-1]
+
+
+def places_of(table: list[tuple], maps: set[str]) -> Place:
+    """The place of whole documents. ``table``: of ``by_pattern``; ``maps``: patterns of open maps."""
+    root, open_maps = Place(), []
+    for rule, (pattern, *own) in enumerate(table):
+        place = root
+        for step in pattern.split("/") if pattern else []:
+            if step == "*":
+                place.items = place.items or Place()
+            place = place.items if step == "*" else place.keys.setdefault(step, Place())
+        place.learn(rule, dict(zip(KINDS, own)))
+        if pattern in maps:
+            open_maps.append(place)
+    for place in open_maps:
+        place.keys, place.others = {}, place.items
+    return root
+
+
+def suspects(raw: Column, table: list[tuple], maps: set[str]) -> Column:
+    """``rule, steps`` of the values of each raw document that may break a rule; null where Python can't read the text.
+
+    Python reads all that Spark does, and some more (repeated keys, NaN): the caller asks Spark what is a document.
     """
-    rules = rules or rules_of()
-    schema = "pattern string, " + ", ".join(f"rule_{k} array<string>" for k in KINDS)
-    table = documents.sparkSession.createDataFrame(by_pattern(rules), schema)  # some hundreds of rows
-    v = F.col("v")
-    seen = values_of(documents, rules, raw).withColumn("is_a", type_of(v))
-    is_a = F.col("is_a")
-    seen = seen.withColumn("text", F.when(is_a == "string", F.try_variant_get(v, "$", "string")))
-    seen = seen.withColumn("keys", F.when(is_a == "object", F.json_object_keys(F.to_json(v))))
-    met = seen.join(F.broadcast(table), "pattern")
-    rule = {k: F.col(f"rule_{k}") for k in KINDS}
-    first = {k: c[0] for k, c in rule.items()}
-    text, keys, shown = F.col("text"), F.col("keys"), F.to_json(v)
+    root = places_of(table, maps)
+
+    @F.arrow_udf("array<struct<rule: int, steps: array<string>>>")
+    def look(texts: pa.Array) -> pa.Array:
+        found = [[] if t is None else root.suspects(t) for t in texts.cast(pa.large_binary()).to_pylist()]
+        flat = [x for own in found if own for x in own]
+        ends = [0, *accumulate(len(own or ()) for own in found)]
+        rules, steps = pa.array([rule for rule, _ in flat], pa.int32()), pa.array([steps for _, steps in flat], pa.list_(pa.string()))
+        begins = pa.array([None if own is None else at for own, at in zip(found, ends)] + ends[-1:], pa.int32())
+        return pa.ListArray.from_arrays(begins, pa.StructArray.from_arrays([rules, steps], ["rule", "steps"]))
+
+    return look(raw)
+
+
+def value_at(v: Column, steps: Column) -> Column:
+    """The value that is reached from the variant ``v`` by keys and indices."""
+    keyed = lambda at, step: F.element_at(F.try_variant_get(at, "$", "map<string,variant>"), step)
+    item = lambda at, step: F.get(F.try_variant_get(at, "$", "array<variant>"), step.try_cast("int"))
+    return F.aggregate(steps, v, lambda at, step: F.coalesce(keyed(at, step), item(at, step)))
+
+
+def broken(value: Column) -> Column:
+    """``path, depth, rank, kind, message`` of the rules that a value breaks. ``value``: ``path, depth, rules, v, is_a``."""
+    v, rules, is_a = value["v"], value["rules"], value["is_a"]
+    rule = {k: rules[k] for k in KINDS}
+    first = {k: F.get(c, 0) for k, c in rule.items()}
+    text, shown = F.when(is_a == "string", F.try_variant_get(v, "$", "string")), F.to_json(v)
+    keys = F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))
     has = lambda c: F.coalesce(c, F.lit(False))
     fits = F.array_contains(rule["type"], is_a) | ((is_a == "integer") & F.array_contains(rule["type"], "number"))
-    more = F.array_except(keys, rule["closed"])
     told = {
         "type": (~fits, F.concat(shown, F.lit(" is not of type "), F.array_join(rule["type"], " or "))),
         "enum": (rule["enum"].isNotNull() & ~has(F.array_contains(rule["enum"], text)), F.concat(shown, F.lit(" is not one of "), F.array_join(rule["enum"], ", "))),
@@ -199,33 +297,58 @@ def failures(documents: DataFrame, rules: list[tuple[str, str, str]] | None = No
         "minimum": (is_a.isin("integer", "number") & (F.try_variant_get(v, "$", "double") < first["minimum"].try_cast("double")), F.concat(shown, F.lit(" is less than "), first["minimum"])),
         "min_items": ((is_a == "array") & (F.size(F.try_variant_get(v, "$", "array<variant>")) < first["min_items"].try_cast("int")), F.concat(shown, F.lit(" has too few items"))),
     }
-    lacking = F.array_except(rule["required"], keys)
-    broken = reduce(Column.__or__, [has(when) for when, _ in told.values()] + [has(F.size(more) > 0), has(F.size(lacking) > 0)])
-    one = lambda k, message: F.struct(F.lit(KINDS.index(k)).alias("rank"), F.lit(k).alias("kind"), message.alias("message"))
+    one = lambda k, message: F.struct(value["path"].alias("path"), value["depth"].alias("depth"), F.lit(KINDS.index(k)).alias("rank"), F.lit(k).alias("kind"), message.alias("message"))
     single = [F.when(has(when), one(k, message)) for k, (when, message) in told.items()]
+    more = F.array_except(keys, rule["closed"])
     single.append(F.when(has(F.size(more) > 0), one("closed", F.concat(F.lit("unexpected keys: "), F.array_join(F.array_sort(more), ", ")))))
-    none = F.array().cast("array<struct<rank: int, kind: string, message: string>>")
-    each = F.coalesce(F.transform(lacking, lambda k: one("required", F.concat(k, F.lit(" is required")))), none)
-    return met.where(broken).select("rec_id", "path", "depth", F.inline(F.concat(F.array_compact(F.array(*single)), each)))
+    each = F.transform(F.array_except(rule["required"], keys), lambda k: one("required", F.concat(k, F.lit(" is required"))))
+    return F.concat(F.array_compact(F.array(*single)), F.coalesce(each, F.array().cast(FAILURES)))
+
+
+FAILURES = "array<struct<path: string, depth: int, rank: int, kind: string, message: string>>"
+
+
+def failures(documents: DataFrame, rules: list[tuple[str, str, str]] | None = None, raw: str = "raw") -> DataFrame:
+    """``rec_id`` and ``failed``: an array of ``path, depth, rank, kind, message``, one for every broken rule of the document.
+
+    ``documents``: ``rec_id`` and the raw JSON text. A rule speaks only of values of its type: a text is not too short an
+    array. Text that is no JSON has no failures here (``sources.files.read_documents`` reports it).
+    """
+    rules = rules or rules_of()
+    table = by_pattern(rules)
+    patterns = {p for p, _, _ in rules}
+    maps = {p for p, kind, arg in rules if kind == "type" and arg == "object" and f"{p}/*".lstrip("/") in patterns}
+    given = F.from_json(F.lit(json.dumps([dict(zip(KINDS, own)) for _, *own in table])), f"array<struct<{', '.join(f'{k}: array<string>' for k in KINDS)}>>")
+    looked = documents.select("rec_id", raw, suspects(F.col(raw), table, maps).alias("places"))
+    read = looked.select("rec_id", "places", F.when(F.col("places").isNull() | (F.size("places") > 0), F.try_parse_json(raw)).alias("v"))
+    v = F.col("v")
+    places = F.when(v.isNotNull(), F.coalesce("places", F.raise_error(F.lit("Python can't read a document that Spark can")).cast("array<struct<rule: int, steps: array<string>>>")))
+    values = F.transform(places, lambda s: F.struct(F.array_join(s["steps"], "/").alias("path"), F.size(s["steps"]).alias("depth"), F.get(given, s["rule"]).alias("rules"), value_at(v, s["steps"]).alias("v")))
+    typed = F.transform(values, lambda s: F.struct(s["path"].alias("path"), s["depth"].alias("depth"), s["rules"].alias("rules"), s["v"].alias("v"), type_of(s["v"]).alias("is_a")))
+    return read.select("rec_id", F.flatten(F.transform(typed, broken)).alias("failed"))
 
 
 def record_form_issues(documents: DataFrame, rules: list[tuple[str, str, str]] | None = None, raw: str = "raw") -> DataFrame:
     """Issues ``rec_id, severity, code, where, message`` of the form of records.
 
     A value that may be null or an object is a choice of branches: where the object fails, only its deepest failure is
-    reported, of equally deep ones that of the first path, then of the first of KINDS. Null is fine there. A message is
-    cut at LONGEST_MESSAGE characters.
+    reported, of equally deep ones that of the first path, then of the first of KINDS. Null is fine there. Documents of
+    equal or no id are judged each for itself. A message is cut at LONGEST_MESSAGE characters.
     """
     rules = rules or rules_of()
-    found = failures(documents, rules, raw)
     choices = [p for p, kind, arg in rules if kind == "type" and "null" in arg.split("|") and "object" in arg.split("|")]
-    branch = F.coalesce(*[F.when((F.col("path") == p) | F.col("path").startswith(f"{p}/"), F.lit(p)) for p in choices], F.lit(None).cast("string"))
-    found = found.withColumn("branch", branch)
-    deepest = F.struct(-F.col("depth"), "path", "rank", "message")
-    chosen = found.where("branch is not null").groupBy("rec_id", "branch").agg(F.min_by(F.struct("path", "kind", "message"), deepest).alias("f")).select("rec_id", "f.*")
-    whole = found.where("branch is null").select("rec_id", "path", "kind", "message").unionByName(chosen)
+    branch = lambda f: F.coalesce(*[F.when((f["path"] == p) | f["path"].startswith(f"{p}/"), F.lit(p)) for p in choices], F.lit(None).cast("string"))
+    issue = lambda f: F.struct(*[f[c].alias(c) for c in ("path", "kind", "message")])
+
+    def deepest(choice: str) -> Column:
+        order = lambda f: F.struct((-f["depth"]).alias("up"), *[f[c].alias(c) for c in ("path", "rank", "message", "kind")])
+        return F.array_min(F.transform(F.filter("failed", lambda f: branch(f) == choice), order))
+
+    whole = F.transform(F.filter("failed", lambda f: branch(f).isNull()), issue)
+    chosen = [F.transform(F.array_compact(F.array(*map(deepest, choices))), issue)] if choices else []
+    found = failures(documents, rules, raw).select("rec_id", F.inline(F.concat(whole, *chosen)))
     cut = F.when(F.length("message") < LONGEST_MESSAGE, F.col("message")).otherwise(F.concat(F.substring("message", 1, LONGEST_MESSAGE), F.lit(" …")))
-    return whole.select("rec_id", F.lit("error").alias("severity"), F.concat(F.lit("form_"), "kind").alias("code"), F.when(F.col("path") == "", "<root>").otherwise(F.col("path")).alias("where"), cut.alias("message"))
+    return found.select("rec_id", F.lit("error").alias("severity"), F.concat(F.lit("form_"), "kind").alias("code"), F.when(F.col("path") == "", "<root>").otherwise(F.col("path")).alias("where"), cut.alias("message"))
 
 
 def ontology_issues(roles: DataFrame, tools: DataFrame, archetypes: DataFrame) -> DataFrame:

@@ -45,11 +45,13 @@ BROKEN = [
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
+    """``rec_id, raw``. A row of two numbers becomes a text of a kilobyte, so rows are dealt out before, however few files there are."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "o_orderkey")
+    own_id = F.concat(F.lit('"r-'), F.col("o_orderkey").cast("string"), F.lit('"'))
+    around = [(DOCUMENT.replace(old, new) if old else DOCUMENT).split('"ID"') for old, new, _ in BROKEN]
+    texts = [F.concat(F.lit(parts[0]), *[x for part in parts[1:] for x in (own_id, F.lit(part))]) for parts in around]
     kind = F.col("o_custkey") % len(BROKEN)
-    whole = F.lit(DOCUMENT)
-    raw = F.coalesce(*[F.when(kind == i, F.replace(whole, F.lit(old), F.lit(new))) for i, (old, new, _) in enumerate(BROKEN) if old], whole)
-    return orders.select(F.col("o_orderkey").alias("rec_id"), F.replace(raw, F.lit('"ID"'), F.concat(F.lit('"r-'), F.col("o_orderkey").cast("string"), F.lit('"'))).alias("raw"))
+    return orders.select(F.col("o_orderkey").alias("rec_id"), F.coalesce(*[F.when(kind == i, text) for i, text in enumerate(texts) if i], texts[0]).alias("raw"))
 
 
 def record_forms(spark, sf_dir):

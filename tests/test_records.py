@@ -98,3 +98,49 @@ def test_other_documents(spark):
     table = spark.createDataFrame([("a", "[]"), ("b", '"text"'), ("c", "{}")], "rec_id string, raw string")
     got = sorted((r.rec_id, r["where"], r.code) for r in conformance.record_form_issues(table).collect())
     assert got == [("a", "<root>", "form_type"), ("b", "<root>", "form_type")] + [("c", "<root>", "form_required")] * 8
+
+
+def issues_of(spark, rows):
+    got = conformance.record_form_issues(spark.createDataFrame(rows, "rec_id string, raw string")).collect()
+    return sorted(((r.rec_id or "", r["where"], r.code) for r in got))
+
+
+def test_records_are_dealt_out_and_judged_where_they_are(spark):
+    documents = record_plans.documents(spark, "/root/testdata/sf0.001")
+    assert documents.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    plan = conformance.record_form_issues(documents)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan and plan.count("ArrowEvalPython") == 1
+
+
+def test_documents_of_equal_or_no_id(spark):
+    raw = changed(("observed", "steps"), [{"order": -1, "role": "x"}])
+    assert issues_of(spark, [("a", raw), ("a", raw), (None, raw), (None, raw)]) == [(i, "observed/steps/0/order", "form_minimum") for i in ("", "", "a", "a")]
+
+
+def test_keys_that_look_like_paths(spark):
+    whole = changed((), None)
+    rows = [("slash", whole[:-1] + ', "claimed/steps": 5}'), ("empty", whole[:-1] + ', "": 5}'), ("half", whole[:-1] + ', "zz": 1, "\\ud800": 2}')]
+    assert issues_of(spark, rows) == [(i, "<root>", "form_closed") for i in ("empty", "half", "slash")]
+    items = changed(("claimed", "steps"), {"*": 5})
+    assert issues_of(spark, [("star", items)]) == [("star", "claimed/steps", "form_type")]
+
+
+def test_whole_numbers_however_written(spark):
+    cases = [
+        ("0", []), ("1.0", []), ("2E2", []), ("-0.0", []), ("10.00", []), ("-1", ["minimum"]), ("-1.0", ["minimum"]), ("-1.5", ["minimum", "type"]), ("0.5", ["type"]), ("1e400", ["type"]),
+        ("true", ["type"]), ('"1"', ["type"]), ("null", ["type"]), ("[0]", ["type"]), ("{}", ["type"]),
+    ]
+    raw = changed(("claimed", "steps"), [{"order": "HERE", "role": "x"}])
+    expected = sorted((written, "claimed/steps/0/order", f"form_{c}") for written, codes in cases for c in codes)
+    assert issues_of(spark, [(written, raw.replace('"HERE"', written)) for written, _ in cases]) == expected
+
+
+def test_the_look_passes_by_what_is_right_and_nothing_else():
+    rules = conformance.rules_of()
+    table = conformance.by_pattern(rules)
+    root = conformance.places_of(table, {"claimed/steps/*/params"})
+    found = lambda raw: [(table[rule][0], steps) for rule, steps in root.suspects(raw.encode())]
+    assert found(changed((), None)) == [] and root.suspects(b"{") is None
+    assert found(changed(("claimed", "steps"), [{"order": 0, "role": "x", "params": {"a/b": {}, "c": [{}]}}])) == [("claimed/steps/*/params/*", ["claimed", "steps", "0", "params", "a/b"])]
+    assert found(changed(("outputs",), ["mags", "novel", 7])) == [("outputs/*", ["outputs", "1"]), ("outputs/*", ["outputs", "2"])]
+    assert found("[]") == [("", [])] and found("7") == [("", [])]
